@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlog.llm import language, media, near_dup, packing, token_files
+from strandlog.llm import language, media, near_dup, packing, token_files, toxicity
 from strandlog.llm.common import read_table
 
 
@@ -23,6 +23,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_media_columns": op4_media_columns,
     "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
 }
