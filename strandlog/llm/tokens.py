@@ -19,8 +19,8 @@ import regex
 SPLIT_SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPLIT_BARE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Distinct words that a worker remembers before it starts anew; bounds its memory, not the result.
-REMEMBERED = 2_000_000
+#: Distinct words and pieces of words that a worker remembers before it starts anew; bounds its memory, not the result.
+WORDS, PIECES = 900_000, 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -81,8 +81,10 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null is an empty text."""
-        if len(self.after_blank) + len(self.bare) > REMEMBERED:
-            self.after_blank, self.bare, self.merged = {}, {}, {}
+        if len(self.after_blank) + len(self.bare) > WORDS:
+            self.after_blank, self.bare = {}, {}
+        if len(self.merged) > PIECES:
+            self.merged = {}
         plain: list[list[str] | None] = []
         for x in texts:
             words = x.split() if x else []
