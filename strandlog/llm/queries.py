@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlog.llm import language, media, near_dup, packing, token_files, toxicity
+from strandlog.llm import chat, html_text, language, media, near_dup, packing, token_files, toxicity
 from strandlog.llm.common import read_table
 
 
@@ -15,10 +15,18 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digest(read_table(spark, sf_dir, "conversations"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_digest(read_table(spark, sf_dir, "documents"))
 
@@ -37,7 +45,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_html_text": op3_html_text,
     "op4_media_columns": op4_media_columns,
+    "op5_chat_formatting": op5_chat_formatting,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
