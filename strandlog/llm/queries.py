@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlog.llm import chat, html_text, language, media, near_dup, packing, token_files, toxicity
+from strandlog.llm import chat, decontaminate, html_text, language, licenses, media, near_dup, packing, token_files, toxicity
 from strandlog.llm.common import read_table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -27,6 +31,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(read_table(spark, sf_dir, "conversations"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_digest(read_table(spark, sf_dir, "documents"))
 
@@ -44,14 +52,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_html_text": op3_html_text,
     "op4_media_columns": op4_media_columns,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_license_scan": op6_license_scan,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": decontaminate.oracle(),
+    "op6_license_scan": licenses.oracle(),
+}
