@@ -5,7 +5,7 @@
 2. Each class has a sketch of 128 coordinates in 32 bands of 4. Two sets of similarity 0.8 share no band with probability
    (1 - 0.8^4)^32 < 1e-7.
 3. The members of a bucket are paired with its least member only. Pairs whose sketches agree in fewer than
-   SKETCH_LEAST coordinates are discarded (at similarity 0.8 that happens less than once in 1e12 pairs), the rest is
+   SKETCH_LEAST coordinates are discarded (at similarity 0.8 that happens less than once in 1e8 pairs), the rest is
    verified on the full sets of their texts.
 4. Verified links give components. A bucket whose members are in one component needs no more pairs. In any other, pairs
    across components still have to be looked at: if all but SMALL members are in one component, these few are paired with
@@ -34,9 +34,9 @@ from strandlog.llm.components import connected_components
 
 SKETCH, ROWS = 128, 4
 #: Of 128 coordinates (their low bytes), those that two sketches must share to be verified.
-SKETCH_LEAST = 68
+SKETCH_LEAST = 76
 #: Members outside a bucket's largest component that are paired with the bucket at once.
-SMALL = 16
+SMALL = 32
 #: Times that a bucket is split by a further band.
 DEPTH = 3
 #: Candidate ids (8 bytes each) up to which they are broadcast to the scan of the texts.
@@ -131,7 +131,7 @@ class _Linker:
 
 
 def _open_buckets(members: DataFrame, components: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Split (key, id) into members of buckets with few rows outside their largest component, and of the others."""
+    """Split (key, id, used) into members of buckets with few rows outside their largest component, and of the others."""
     of = components.select(F.col("node").alias("id"), "component")
     placed = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -140,6 +140,15 @@ def _open_buckets(members: DataFrame, components: DataFrame, scratch: Scratch) -
     return rows.where(F.col("outside") <= SMALL), rows.where(F.col("outside") > SMALL)
 
 
+def _split(many: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, id, used): members of the buckets that share a further band; ``used`` are the bands that a key stands for."""
+    bands = reps.select(F.col("doc_id").alias("id"), "bands")
+    rows = many.select("id", "used").join(bands, "id").select("id", "used", F.explode(F.array_except("bands", "used")).alias("band"))
+    rows = rows.select("id", F.array_sort(F.concat("used", F.array("band"))).alias("used")).distinct().withColumn("key", F.xxhash64("used"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return rows.join(shared, "key")
+
+
 def _across(few: DataFrame) -> DataFrame:
     """Pairs across components of buckets that have few members outside the largest: those few against the bucket."""
     out = few.where("component <> largest").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
@@ -165,17 +174,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     components = scratch.cut(connected_components(links, scratch), "components")
 
     # pairs across components; a bucket's least member has been compared with all others
-    left, extra = buckets.where("id <> pivot").select("key", "id"), []
+    left, extra = buckets.where("id <> pivot").select("key", "id", F.array("key").alias("used")), []
     for depth in range(DEPTH + 1):
         few, many = _open_buckets(left, components, scratch)
         extra.append(_across(few))
         if many.isEmpty():
             break
         if depth < DEPTH:
-            split = many.select("key", "id").join(reps.select(F.col("doc_id").alias("id"), "bands"), "id").select("id", F.col("key").alias("old"), F.explode("bands").alias("band")).where("old <> band")
-            split = split.select("id", F.xxhash64(F.least("old", "band"), F.greatest("old", "band")).alias("key"))
-            seen = split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-            left = scratch.cut(split.join(seen, "key").select("key", "id").distinct(), "split-buckets")
+            left = scratch.cut(_split(many, reps), "split-buckets")
         else:
             rest = many.select("key", "id")
             while True:

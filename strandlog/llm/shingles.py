@@ -146,6 +146,7 @@ def fingerprints(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     """Two 64-bit sums over each set: 128 bits by which equal sets are known."""
     out = []
     for seed in (0x2545F4914F6CDD1D, 0xDA942042E4DD58B5):
-        sums = np.concatenate([[0], np.cumsum(mix(shingles ^ _U(seed)), dtype=np.uint64)]).astype(np.uint64)
+        sums = np.zeros(len(shingles) + 1, np.uint64)
+        np.cumsum(mix(shingles ^ _U(seed)), out=sums[1:])
         out.append((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64))
     return out[0], out[1]
