@@ -34,6 +34,8 @@ FAMILIES = {
 
 #: Labelled rows of each language that the machines are fitted on, about.
 PER_LANGUAGE = 600
+#: Texts of the sample that are looked at together, to bound the driver's memory.
+AT_ONCE = 256
 #: Hash buckets of the n-grams.
 BUCKETS = 1 << 13
 _ORDERS = (2, 3, 4)
@@ -146,10 +148,11 @@ def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 40, c: float = 8.0) ->
 
 def fit(texts: pa.Array, langs: list[str]) -> Model:
     """Fit all machines on the given texts."""
-    grams, bounds = ngrams(texts)
     x = np.zeros((len(texts), BUCKETS), np.float32)
-    for t, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        x[t] = np.bincount(grams[a:b].ravel(), minlength=BUCKETS) / max(1, (b - a) * grams.shape[1])
+    for lo in range(0, len(texts), AT_ONCE):
+        grams, bounds = ngrams(texts.slice(lo, AT_ONCE))
+        for t, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), lo):
+            x[t] = np.bincount(grams[a:b].ravel(), minlength=BUCKETS) / max(1, (b - a) * grams.shape[1])
     scale = np.zeros(BUCKETS)
     if len(texts):
         scale = 1 / np.sqrt(np.maximum(x.mean(axis=0), 1e-6))  # rare n-grams count as much as frequent ones

@@ -30,6 +30,8 @@ EXAMPLES = 1500
 TERMS, CHI_SQUARE = 2048, 24.0
 BEGINNINGS = (4, 5, 6)
 BLOCK, NEIGHBOURS = 64, 9
+#: Squared cosines (summed over the neighbours) at which their votes count half.
+DOUBT = 0.3
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
@@ -70,23 +72,43 @@ def terms_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[valid], kept[bounds]
 
 
-def vocabulary(terms: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Hashes (sorted) of the terms that depend most on the label, by chi-square over the weighted sample."""
-    texts = np.repeat(np.arange(len(toxic)), np.diff(bounds))
-    order = np.lexsort((texts, terms))
-    t, d = terms[order], texts[order]
-    fresh = np.ones(len(t), bool)
-    fresh[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
-    t, d = t[fresh], d[fresh]
-    values, where = np.unique(t, return_inverse=True)
+def unlike(text: pa.Array) -> np.ndarray:
+    """Marks one text of each group of copies and near copies (that share one of two sketch coordinates of 3-word shingles).
+
+    A term counts for as many examples as were written, not for as many copies as were made of one.
+    """
+    seen: set[tuple[int, int]] = set()
+    out = np.ones(len(text), bool)
+    for lo in range(0, len(text), AT_ONCE):
+        sets, bounds = sh.shingle_sets(*text_bytes(text.slice(lo, AT_ONCE)), 3)
+        sketch = sh.similarity_sketches(sets, bounds, 2)
+        for t, row in enumerate(sketch.tolist(), lo):
+            if bounds[t - lo] < bounds[t - lo + 1]:
+                keys = set(enumerate(row))
+                out[t] = not keys & seen
+                seen |= keys
+    return out
+
+
+#: Texts of the sample that are looked at together, to bound the driver's memory.
+AT_ONCE = 128
+
+
+def vocabulary(text: pa.Array, toxic: np.ndarray) -> np.ndarray:
+    """Hashes (sorted) of the terms that depend most on the label, by chi-square over the sample's texts."""
+    values, in1, in0 = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for lo in range(0, len(text), AT_ONCE):
+        terms, bounds = terms_of(text.slice(lo, AT_ONCE))
+        per_text = [np.unique(terms[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        label = np.repeat(toxic[lo : lo + AT_ONCE], [len(x) for x in per_text])
+        every = np.concatenate([values, *per_text])
+        values, where = np.unique(every, return_inverse=True)
+        in1 = np.bincount(where, np.concatenate([in1, label]), len(values))
+        in0 = np.bincount(where, np.concatenate([in0, ~label]), len(values))
     n1, n0 = toxic.sum(), (~toxic).sum()
-    in1 = np.bincount(where, toxic[d].astype(float), len(values))
-    in0 = np.bincount(where, (~toxic)[d].astype(float), len(values))
-    n = n1 + n0
     a, b, c, e = in1, in0, n1 - in1, n0 - in0
-    chi = n * (a * e - b * c) ** 2 / np.maximum(1e-9, (a + b) * (c + e) * (a + c) * (b + e))
-    rates = in1 / max(1, n1), in0 / max(1, n0)
-    good = np.flatnonzero((chi >= CHI_SQUARE) & (rates[0] >= 3 * rates[1]))  # terms of the label to be found
+    chi = (n1 + n0) * (a * e - b * c) ** 2 / np.maximum(1e-9, (a + b) * (c + e) * (a + c) * (b + e))
+    good = np.flatnonzero((chi >= CHI_SQUARE) & (in1 / max(1, n1) >= 3 * in0 / max(1, n0)))  # terms of the label to be found
     best = good[np.argsort(-chi[good], kind="stable")[:TERMS]]
     return np.sort(values[best])
 
@@ -143,8 +165,11 @@ class Index:
         return ids, sims
 
     def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
+        """The neighbours' weighted share of label 1, drawn to the silent score as far as they are distant."""
+        near = float((sims**2).sum())
         w = sims**2 * self.stands_for[ids]
-        return float((w * self.toxic[ids]).sum() / max(1e-12, w.sum()))
+        share = float((w * self.toxic[ids]).sum() / max(1e-12, w.sum()))
+        return (near * share + DOUBT * self.silent) / (near + DOUBT)
 
     def calibrated(self, vote: float) -> float:
         a, b = self.curve
@@ -156,8 +181,9 @@ def build_index(text: pa.Array, doc_ids: list, toxic: np.ndarray, stands_for: np
     n = len(doc_ids)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     lists = np.zeros((len(vocab), n), np.float32)
-    which, term, count = counts_in(text, vocab)
-    lists[term, which] = (1 + np.log(count)) * idf[term]
+    for lo in range(0, n, AT_ONCE):
+        which, term, count = counts_in(text.slice(lo, AT_ONCE), vocab)
+        lists[term, lo + which] = (1 + np.log(count)) * idf[term]
     norm = np.sqrt((lists.astype(np.float64) ** 2).sum(axis=0))
     lists /= np.maximum(norm, 1e-12)
     blocks = np.arange(0, max(n, 1), BLOCK)
@@ -219,8 +245,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: in
     text = pc.fill_null(sample.column("text").combine_chunks().cast(pa.string()), "") if sample.num_rows else pa.array([], pa.string())
     toxic = np.array(sample.column("toxic").to_pylist(), dtype=float) > 0
     stands_for = np.array(sample.column("stands_for").to_pylist(), dtype=float)
-    terms, bounds = terms_of(text)
-    vocab = vocabulary(terms, bounds, toxic, stands_for) if len(toxic) else np.zeros(0, np.uint64)
+    own = unlike(text)
+    text, toxic, stands_for = text.filter(pa.array(own)), toxic[own], stands_for[own]
+    doc_ids = [x for x, keep in zip(sample.column("doc_id").to_pylist(), own, strict=True) if keep]
+    vocab = vocabulary(text, toxic) if len(toxic) else np.zeros(0, np.uint64)
     held = spark.sparkContext.broadcast(vocab)  # TERMS hashes at most
 
     def reduce_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +262,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: in
     df = np.zeros(len(vocab))
     for r in reduced.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # TERMS lines at most
         df[r[0]] = r[1]
-    index = spark.sparkContext.broadcast(build_index(text, sample.column("doc_id").to_pylist(), toxic, stands_for, vocab, df, reduced.count(), k))
+    index = spark.sparkContext.broadcast(build_index(text, doc_ids, toxic, stands_for, vocab, df, reduced.count(), k))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
