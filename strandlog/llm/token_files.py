@@ -160,7 +160,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
         with store.open_output_stream(attempt) as sink:
             rows = ShardWriter(sink)
             for batch in batches:
-                for part in slices(batch, "text", 4 << 20):
+                for part in slices(batch, "text", 2 << 20):
                     ids = part.column("doc_id").to_pylist()
                     for doc_id, tokens in zip(ids, enc.encode(part.column("text").to_pylist()), strict=True):
                         rows.add(doc_id, tokens + end)

@@ -19,8 +19,8 @@ import regex
 SPLIT_SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPLIT_BARE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Distinct words and pieces of words that a worker remembers before it starts anew; bounds its memory, not the result.
-WORDS, PIECES = 900_000, 400_000
+#: Distinct words and pieces of words that a worker remembers, about; bounds its memory, not the result.
+WORDS, PIECES = 300_000, 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -60,41 +60,56 @@ class WordTokenizer:
     def _whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece that is merged by itself."""
+        ids = self.merged.get(piece)
+        if ids is None:
+            shown = piece if piece.isascii() and piece.isalnum() else "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = self.merged[piece] = array("H", [t.id for t in self.merge(shown)]).tobytes()
+        return ids
+
     def _word(self, word: str, blank: str) -> bytes:
         """The ids of one word, with ``blank`` before it."""
-        if not self.latin(word):
+        core = word.rstrip(".,")
+        tail = word[len(core) :]
+        if core.isascii():
+            plain = core.isalpha()
+        elif self.latin(core):
+            plain = core.isalpha()
+        else:
             return self._whole(blank + word)
+        if plain:  # one piece of letters, and one of the signs behind it
+            ids = self._piece(blank + (core if self.spaced else core.lower()))
+            return ids + self._piece(tail) if tail else ids
         if not self.spaced:
             word = unicodedata.normalize("NFC", word).lower()
-        out = []
-        for piece in self.pieces(blank + word):
-            ids = self.merged.get(piece)
-            if ids is None:
-                shown = "".join(map(self.letters.__getitem__, piece.encode()))
-                ids = self.merged[piece] = array("H", [t.id for t in self.merge(shown)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
-
-    def _learn(self, words: set[str], known: dict[str, bytes], blank: str) -> None:
+        return b"".join(map(self._piece, self.pieces(blank + word)))
+
+    def _learn(self, words: set[str], known: dict[str, bytes], blank: str) -> dict[str, bytes]:
+        """Encode the new ones of ``words``; if too many are known, those that came before and now are kept."""
+        if len(self.merged) > PIECES:
+            self.merged = {}
+        if len(known) > WORDS:
+            known = {w: known[w] for w in words & known.keys()}
         for word in words - known.keys():
             known[word] = self._word(word, blank)
+        return known
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null is an empty text."""
-        if len(self.after_blank) + len(self.bare) > WORDS:
-            self.after_blank, self.bare = {}, {}
-        if len(self.merged) > PIECES:
-            self.merged = {}
         plain: list[list[str] | None] = []
         for x in texts:
             words = x.split() if x else []
             one_each = not x or x.count(" ") + x.count("\n") == len(words) - 1 == len(x) - len("".join(words))
             plain.append(words if one_each else None)
+        words = set().union(*filter(None, plain))
         if not self.spaced:
-            self._learn(set().union(*filter(None, plain)), self.bare, "")
+            self.bare = self._learn(words, self.bare, "")
             bare = self.bare.__getitem__
             return [self._whole(x) if p is None else b"".join(map(bare, p)) for x, p in zip(texts, plain, strict=True)]
-        self._learn(set().union(*filter(None, plain)), self.after_blank, " ")
+        self.after_blank = self._learn(words, self.after_blank, " ")
+        if len(self.bare) > WORDS // 4:
+            self.bare = {}
         get, bare, newline, out = self.after_blank.__getitem__, self.bare, self._whole("\n"), []
         for x, p in zip(texts, plain, strict=True):
             if p is None:
