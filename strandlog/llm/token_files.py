@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
         shard = task.partitionId()
         final, attempt = f"{base}/ids-{shard:06d}.zst", f"{base}/.ids-{shard:06d}.{task.taskAttemptId()}"
         enc, rows = tokenizer(vocabulary, spaced), None
-        with store.open_output_stream(attempt) as sink:
+        with store.open_output_stream(attempt, compression=None) as sink:
             rows = ShardWriter(sink)
             for batch in batches:
                 for part in slices(batch, "text", 2 << 20):
