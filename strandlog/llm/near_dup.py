@@ -7,11 +7,10 @@
 3. The members of a bucket are paired with its least member only. Pairs whose sketches agree in fewer than
    SKETCH_LEAST coordinates are discarded (at similarity 0.8 that happens less than once in 1e8 pairs), the rest is
    verified on the full sets of their texts.
-4. Verified links give components. A bucket whose members are in one component needs no more pairs. In any other, pairs
-   across components still have to be looked at: if all but SMALL members are in one component, these few are paired with
-   the members outside their own; else the bucket is split by a further band (a linked pair shares 13 bands on average,
-   all but one pair in a million at least two). What can be split no further is paired with its least members, round by
-   round, until nothing is left.
+4. Verified links give components. A bucket whose members are in one component needs no more pairs. In any other, the
+   members outside its largest component are compared with the bucket by their sketches, block by block inside tasks (bounded
+   blocks of hashed members; only pairs that pass leave a task, each from the first of the bands that it shares). These
+   pairs are verified like the others.
 
 No step emits the pairs of a group, gathers a group in one task, or sends more than counts to the driver.
 
@@ -35,10 +34,8 @@ from strandlog.llm.components import connected_components
 SKETCH, ROWS = 128, 4
 #: Of 128 coordinates (their low bytes), those that two sketches must share to be verified.
 SKETCH_LEAST = 76
-#: Members outside a bucket's largest component that are paired with the bucket at once.
-SMALL = 32
-#: Times that a bucket is split by a further band.
-DEPTH = 3
+#: Members outside a bucket's largest component, and members of the bucket, that are compared at once, about.
+OUTSIDE, INSIDE = 64, 256
 #: Candidate ids (8 bytes each) up to which they are broadcast to the scan of the texts.
 BROADCAST_IDS = 2_000_000
 
@@ -130,30 +127,39 @@ class _Linker:
         return out
 
 
-def _open_buckets(members: DataFrame, components: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Split (key, id, used) into members of buckets with few rows outside their largest component, and of the others."""
+def _across(members: DataFrame, components: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) across components, within buckets (key, id), whose sketches are alike; each distinct pair about once."""
     of = components.select(F.col("node").alias("id"), "component")
     placed = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    state = parts.groupBy("key").agg(F.max_by("component", "n").alias("largest"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
-    rows = scratch.cut(placed.join(state, "key"), "open-buckets")
-    return rows.where(F.col("outside") <= SMALL), rows.where(F.col("outside") > SMALL)
+    state = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    bands = reps.select(F.col("doc_id").alias("id"), "bands", "sketch")
+    rows = scratch.cut(placed.join(state, "key"), "open-buckets").join(bands, "id")
 
+    def blocks(df: DataFrame, size: int, total: str, name: str) -> DataFrame:
+        number = F.pmod(F.xxhash64("id"), F.ceil(F.expr(total) / size))
+        held = df.groupBy("key", number.alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "component", "bands", "sketch")).alias("m"))
+        return held.select("key", *[F.col(f"m.{c}").alias(f"{name}_{c}") for c in ("id", "component", "sketch")], F.flatten("m.bands").alias(f"{name}_bands"))
 
-def _split(many: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, id, used): members of the buckets that share a further band; ``used`` are the bands that a key stands for."""
-    bands = reps.select(F.col("doc_id").alias("id"), "bands")
-    rows = many.select("id", "used").join(bands, "id").select("id", "used", F.explode(F.array_except("bands", "used")).alias("band"))
-    rows = rows.select("id", F.array_sort(F.concat("used", F.array("band"))).alias("used")).distinct().withColumn("key", F.xxhash64("used"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return rows.join(shared, "key")
-
+    both = blocks(rows.where("component <> largest"), OUTSIDE, "n - most", "x").join(blocks(rows, INSIDE, "n", "y"), "key")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def _across(few: DataFrame) -> DataFrame:
-    """Pairs across components of buckets that have few members outside the largest: those few against the bucket."""
-    out = few.where("component <> largest").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    pairs = few.select("key", "id", "component").join(out, "key").where("component <> cx and id <> x")
-    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            for i, key in enumerate(at["key"].to_pylist()):
+                number = lambda n, i=i, at=at: at[n][i].values.to_numpy()
+                sketch = lambda n, i=i, at=at: np.frombuffer(b"".join(at[n][i].values.to_pylist()), np.uint8).reshape(-1, SKETCH)
+                alike = (sketch("x_sketch")[:, None] == sketch("y_sketch")[None]).sum(axis=2) >= SKETCH_LEAST
+                alike &= number("x_component")[:, None] != number("y_component")[None]
+                x, y = np.nonzero(alike)
+                bx, by = (number(f"{s}_bands").reshape(-1, SKETCH // ROWS) for s in "xy")
+                first = (bx[x] == by[y]).argmax(axis=1)
+                own = bx[x, first] == key
+                ids = np.stack([number("x_id")[x[own]], number("y_id")[y[own]]])
+                yield pa.RecordBatch.from_arrays([pa.array(ids.min(axis=0)), pa.array(ids.max(axis=0))], schema=schema)
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -173,28 +179,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = linker.links(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     components = scratch.cut(connected_components(links, scratch), "components")
 
-    # pairs across components; a bucket's least member has been compared with all others
-    left, extra = buckets.where("id <> pivot").select("key", "id", F.array("key").alias("used")), []
-    for depth in range(DEPTH + 1):
-        few, many = _open_buckets(left, components, scratch)
-        extra.append(_across(few))
-        if many.isEmpty():
-            break
-        if depth < DEPTH:
-            left = scratch.cut(_split(many, reps), "split-buckets")
-        else:
-            rest = many.select("key", "id")
-            while True:
-                pivot = rest.groupBy("key").agg(F.min("id").alias("pivot"))
-                rest = scratch.cut(rest.join(pivot, "key").where("id <> pivot"), "rest")
-                if rest.isEmpty():
-                    break
-                extra.append(rest.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-                rest = rest.select("key", "id")
-    pairs = extra[0]
-    for more in extra[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = scratch.cut(pairs.distinct(), "pairs-across")
+    # a bucket's least member has been compared with all others
+    pairs = scratch.cut(_across(buckets.where("id <> pivot").select("key", "id"), components, reps, scratch).distinct(), "pairs-across")
     if not pairs.isEmpty():
         more = linker.links(pairs)
         if not more.isEmpty():

@@ -70,10 +70,10 @@ def test_hot_groups(docs_of):
     assert run(docs, 4) == brute(rows, 4)
 
 
-def test_split_buckets(docs_of, monkeypatch):
-    """With tiny limits, every further step is taken: pairs across components, splits by bands, rounds."""
-    monkeypatch.setattr(near_dup, "SMALL", 2)
-    monkeypatch.setattr(near_dup, "DEPTH", 1)
+def test_blocks_of_a_bucket(docs_of, monkeypatch):
+    """With tiny blocks, a bucket's members are compared over many of them."""
+    monkeypatch.setattr(near_dup, "OUTSIDE", 2)
+    monkeypatch.setattr(near_dup, "INSIDE", 3)
     rng = random.Random(6)
     rows = []
     for g in range(2):
