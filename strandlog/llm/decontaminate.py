@@ -3,8 +3,8 @@
 A text becomes tokens: numbers, units behind numbers, and names (a capitalised word inside a sentence) are replaced by
 typed placeholders, everything else is lower-cased words. Each window of WINDOW tokens of each text is hashed and joined with the windows of
 all benchmark items (an item with fewer tokens is one window of all of them, joined by its own length). An item is leaked into a document if SHARE of its distinct windows stand there and
-its slots are consistent: over the matched windows, each value at an item's placeholders corresponds to one value of the
-document and the reverse, for SLOTS of the values at least, so the same question with other numbers is found, but not
+its slots are consistent: over the matched windows at one place of the document (that with most slots), each value at the
+item's placeholders corresponds to one value of the document and the reverse, for SLOTS of the values at least, so the same question with other numbers is found, but not
 texts that share only a shape.
 
 The benchmark side is broadcast if it has at most BROADCAST_ROWS windows (counted); beyond that Spark shuffles both sides by hash.
@@ -53,11 +53,11 @@ def _windows(tokens: Column, width: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, width, h, n_windows, slots): the windows of every item, how many distinct ones it has, their marked tokens."""
+    """(item_id, width, h, place, n_windows, slots): every item's windows, how many distinct ones it has, their marked tokens."""
     items = benchmark.where("text is not null").select("item_id", marked(F.col("text")).alias("tokens")).where(F.array_max("tokens") != "")
     items = items.withColumn("width", F.least(F.size("tokens"), F.lit(window)))
     rows = items.select("item_id", "tokens", "width", F.posexplode(_windows(template(F.col("tokens")), F.col("width"))).alias("place", "h"))
-    rows = rows.select("item_id", "width", "h", F.slice("tokens", F.col("place") + 1, F.col("width")).alias("slots")).distinct()
+    rows = rows.select("item_id", "width", "h", "place", F.slice("tokens", F.col("place") + 1, F.col("width")).alias("slots")).distinct()
     sizes = rows.groupBy("item_id").agg(F.count_distinct("h").alias("n_windows"))
     return rows.alias("r").join(sizes.alias("s"), F.col("r.item_id").eqNullSafe(F.col("s.item_id"))).select("r.*", "n_windows")
 
@@ -89,17 +89,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
     # slots: only documents that hold most of an item that has placeholders are looked at again
     with_slots = items.where(F.exists("slots", lambda t: t.startswith("\x01")))
-    pairs = likely.select("doc_id", "item_id").alias("l").join(with_slots.alias("w"), _same("l", "w", "item_id")).select("doc_id", "l.item_id", "width", "h", "slots")
+    pairs = likely.select("doc_id", "item_id").alias("l").join(with_slots.alias("w"), _same("l", "w", "item_id")).select("doc_id", "l.item_id", "width", "h", "place", "slots")
     pairs = scratch.cut(pairs, "slot-windows")
     wanted = pairs.select("doc_id").distinct()
     again = _doc_windows(docs.alias("d").join(wanted.alias("q"), _same("d", "q", "doc_id"), "left_semi"), widths).select("doc_id", "tokens", "width", F.posexplode("hashes").alias("at", "h"))
-    both = again.alias("a").join(pairs.alias("p"), _same("a", "p", "doc_id", "width", "h")).select("a.doc_id", "item_id", F.zip_with("slots", F.slice("tokens", F.col("at") + 1, F.col("a.width")), lambda i, d: F.struct(i.alias("i"), d.alias("d"))).alias("pairs"))
-    values = both.select("doc_id", "item_id", F.explode(F.filter("pairs", lambda p: p["i"].startswith("\x01"))).alias("p")).select("doc_id", "item_id", "p.i", "p.d").distinct()
+    both = again.alias("a").join(pairs.alias("p"), _same("a", "p", "doc_id", "width", "h")).select("a.doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift"), F.zip_with("slots", F.slice("tokens", F.col("at") + 1, F.col("a.width")), lambda i, d: F.struct(i.alias("i"), d.alias("d"))).alias("pairs"))
+    values = both.select("doc_id", "item_id", "shift", F.explode(F.filter("pairs", lambda p: p["i"].startswith("\x01"))).alias("p")).select("doc_id", "item_id", "shift", "p.i", "p.d").distinct()
     values = scratch.cut(values, "slot-values")
-    of_item = values.groupBy("doc_id", "item_id", "i").agg(F.count("*").alias("n"))
-    of_doc = values.groupBy("doc_id", "item_id", "d").agg(F.count("*").alias("m"))
-    judged = values.alias("v").join(of_item.alias("x"), _same("v", "x", "doc_id", "item_id", "i")).join(of_doc.alias("y"), _same("v", "y", "doc_id", "item_id", "d"))
-    per_item = judged.groupBy("v.doc_id", "v.item_id").agg(F.count_distinct("v.i").alias("n_slots"), F.count_distinct(F.when((F.col("n") == 1) & (F.col("m") == 1), F.col("v.i"))).alias("n_consistent"))
+    of_item = values.groupBy("doc_id", "item_id", "shift", "i").agg(F.count("*").alias("n"))
+    of_doc = values.groupBy("doc_id", "item_id", "shift", "d").agg(F.count("*").alias("m"))
+    judged = values.alias("v").join(of_item.alias("x"), _same("v", "x", "doc_id", "item_id", "shift", "i")).join(of_doc.alias("y"), _same("v", "y", "doc_id", "item_id", "shift", "d"))
+    per_shift = judged.groupBy("v.doc_id", "v.item_id", "v.shift").agg(F.count_distinct("v.i").alias("n_slots"), F.count_distinct(F.when((F.col("n") == 1) & (F.col("m") == 1), F.col("v.i"))).alias("n_consistent"))
+    best = F.max(F.struct("n_slots", "n_consistent"))  # the place in the document where most of the item's slots are
+    per_item = per_shift.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
     out = likely.alias("l").join(per_item.alias("j"), _same("l", "j", "doc_id", "item_id"), "left")
     out = out.select("l.doc_id", "l.item_id", "matched", "n_windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_consistent", F.lit(0)).alias("n_consistent"))
     return out.where(F.col("n_consistent") >= F.col("n_slots") * slots)
@@ -130,17 +132,18 @@ def oracle(window: int = WINDOW, share: float = SHARE, slots: float = SLOTS) ->
     WITH bt AS (SELECT item_id, {tokens} AS tokens FROM benchmark WHERE text IS NOT NULL),
     bp AS (SELECT item_id, tokens, {plain} AS plain, least(len(tokens), {window}) AS w FROM bt WHERE len(tokens) > 0),
     bi AS (SELECT item_id, tokens, plain, w, unnest(range(1, len(plain) - w + 2)) AS i FROM bp),
-    bw AS (SELECT DISTINCT item_id, w, array_to_string(plain[i:i + w - 1], ' ') AS h, tokens[i:i + w - 1] AS slots FROM bi),
+    bw AS (SELECT DISTINCT item_id, w, i AS place, array_to_string(plain[i:i + w - 1], ' ') AS h, tokens[i:i + w - 1] AS slots FROM bi),
     sizes AS (SELECT item_id, count(DISTINCT h) AS n_windows FROM bw GROUP BY item_id),
     dt AS (SELECT doc_id, {tokens} AS tokens FROM documents WHERE text IS NOT NULL),
     dp AS (SELECT doc_id, tokens, {plain} AS plain FROM dt),
     di AS (SELECT doc_id, tokens, plain, w, unnest(range(1, len(plain) - w + 2)) AS i FROM dp, (SELECT DISTINCT w FROM bw)),
-    dw AS (SELECT doc_id, w, array_to_string(plain[i:i + w - 1], ' ') AS h, tokens[i:i + w - 1] AS found FROM di),
-    hits AS (SELECT doc_id, item_id, dw.w, slots, found, h FROM dw JOIN bw USING (w, h)),
+    dw AS (SELECT doc_id, w, i AS pos, array_to_string(plain[i:i + w - 1], ' ') AS h, tokens[i:i + w - 1] AS found FROM di),
+    hits AS (SELECT doc_id, item_id, dw.w, pos - place AS shift, slots, found, h FROM dw JOIN bw USING (w, h)),
     likely AS (SELECT doc_id, item_id, n_windows, count(DISTINCT h) AS matched FROM hits JOIN sizes USING (item_id) GROUP BY ALL HAVING count(DISTINCT h) >= n_windows * {share}),
-    places AS (SELECT doc_id, item_id, slots, found, unnest(range(1, w + 1)) AS k FROM hits SEMI JOIN likely USING (doc_id, item_id)),
-    vals AS (SELECT DISTINCT doc_id, item_id, slots[k] AS i, found[k] AS d FROM places WHERE starts_with(slots[k], chr(1))),
-    judged AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, i) AS n, count(*) OVER (PARTITION BY doc_id, item_id, d) AS m FROM vals),
-    per_item AS (SELECT doc_id, item_id, count(DISTINCT i) AS n_slots, count(DISTINCT CASE WHEN n = 1 AND m = 1 THEN i END) AS n_consistent FROM judged GROUP BY ALL)
+    places AS (SELECT doc_id, item_id, shift, slots, found, unnest(range(1, w + 1)) AS k FROM hits SEMI JOIN likely USING (doc_id, item_id)),
+    vals AS (SELECT DISTINCT doc_id, item_id, shift, slots[k] AS i, found[k] AS d FROM places WHERE starts_with(slots[k], chr(1))),
+    judged AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift, i) AS n, count(*) OVER (PARTITION BY doc_id, item_id, shift, d) AS m FROM vals),
+    per_shift AS (SELECT doc_id, item_id, shift, count(DISTINCT i) AS n_slots, count(DISTINCT CASE WHEN n = 1 AND m = 1 THEN i END) AS n_consistent FROM judged GROUP BY ALL),
+    per_item AS (SELECT doc_id, item_id, n_slots, n_consistent FROM per_shift QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_slots DESC, n_consistent DESC) = 1)
     SELECT doc_id, item_id, matched, n_windows, coalesce(n_slots, 0) AS n_slots, coalesce(n_consistent, 0) AS n_consistent
     FROM likely LEFT JOIN per_item USING (doc_id, item_id) WHERE coalesce(n_consistent, 0) >= coalesce(n_slots, 0) * {slots}"""

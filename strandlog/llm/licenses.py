@@ -110,7 +110,7 @@ def normalised(sentence: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """The raw sentences of a text, in order."""
-    return F.split(F.coalesce(text, F.lit("")), "\\n+|(?<=[.!?;:])\\s+")
+    return F.split(F.coalesce(text, F.lit("")), "\\n+|(?<=[.!?;])\\s+")
 
 
 def sentence_table(spark: SparkSession) -> DataFrame:
@@ -149,7 +149,7 @@ def oracle() -> str:
     rules = ", ".join(f"CASE WHEN regexp_matches(sequence, ' {' (?:.* )?'.join(ids.split())} ') THEN '{licence}' END" for licence, ids in _pairs(RULES))
     return f"""
     WITH known AS (SELECT {norm.format('raw')} AS sentence, min(sid) AS sid FROM (VALUES {known}) t(sid, raw) GROUP BY 1),
-    base AS (SELECT row_number() OVER () AS row, doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?;:])\\s+', '\\1' || chr(10), 'g'), '\\n+') AS parts FROM documents),
+    base AS (SELECT row_number() OVER () AS row, doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?;])\\s+', '\\1' || chr(10), 'g'), '\\n+') AS parts FROM documents),
     exploded AS (SELECT row, unnest(range(len(parts))) AS place, unnest(parts) AS raw FROM base),
     norms AS (SELECT row, place, {norm.format('raw')} AS sentence FROM exploded),
     found AS (SELECT n.row, n.place, coalesce(k.sid, CASE {forms} END) AS sid FROM norms n LEFT JOIN known k USING (sentence)),
