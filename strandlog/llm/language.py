@@ -54,10 +54,11 @@ def ngrams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of all n-grams of each text, by start, shape (bytes, orders), and the texts' bounds."""
     raw, offsets = text_bytes(pc.utf8_lower(text.cast(pa.large_string())))
     x = _LETTER[raw].astype(np.uint32)
-    # two blanks after each text keep its last n-grams apart from the next text's
+    # blanks after each text keep its last n-grams apart from the next text's
     spread = np.full(len(x) + 4 * (len(offsets) - 1), 32, np.uint32)
     counts = np.diff(offsets)
-    spread[np.arange(len(x)) + 4 * np.repeat(np.arange(len(counts)), counts)] = x
+    places = np.arange(len(x)) + 4 * np.repeat(np.arange(len(counts)), counts)
+    spread[places] = x
     bounds = offsets + 4 * np.arange(len(offsets))
     n = len(spread)
     out = np.empty((n, len(_ORDERS)), np.int32)
@@ -68,6 +69,9 @@ def ngrams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if order in _ORDERS:
             h = (key ^ (key >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * order)
             out[:, _ORDERS.index(order)] = (h >> np.uint32(19)).astype(np.int32) & (BUCKETS - 1)
+    between = np.ones(n, bool)
+    between[places] = False
+    out[between] = 0  # what begins between two texts is of neither
     return out, bounds
 
 
@@ -76,7 +80,8 @@ class Model:
     """The machines' weight rows by bucket, and which of them decides what."""
 
     languages: list[str]
-    weights: np.ndarray  # (BUCKETS, machines)
+    weights: np.ndarray  # (BUCKETS, machines), whole multiples of 1 / unit: sums are exact, in any order
+    unit: float
     bias: np.ndarray
     slope: np.ndarray
     families: list[str]
@@ -87,11 +92,11 @@ class Model:
         grams, bounds = ngrams(text)
         if not len(grams):
             return np.tile(self.bias, (len(text), 1))
-        sums = np.zeros((len(bounds) - 1, len(self.bias)))
+        sums = np.zeros((len(bounds) - 1, len(self.bias)), np.int64)
         for order in range(grams.shape[1]):
             rows = self.weights[grams[:, order]]
-            sums += np.add.reduceat(rows, np.minimum(bounds[:-1], len(rows) - 1), axis=0)
-        return sums / np.maximum(1, np.diff(bounds) * grams.shape[1])[:, None] + self.bias
+            sums += np.add.reduceat(rows, np.minimum(bounds[:-1], len(rows) - 1), axis=0, dtype=np.int64)
+        return sums / self.unit / np.maximum(1, np.diff(bounds) * grams.shape[1])[:, None] + self.bias
 
     def predict(self, text: pa.Array) -> tuple[list[str], np.ndarray]:
         """The language of each text and a score from 0 to 1; ``und`` and 0 for a null or a text without letters."""
@@ -170,7 +175,8 @@ def fit(texts: pa.Array, langs: list[str]) -> Model:
             rows = np.flatnonzero((sides == a) | (sides == b))
             machines.append(_machine(x[rows], np.where(sides[rows] == a, 1.0, -1.0)))
     weights = np.stack([m[0] * scale for m in machines], axis=1) if machines else np.zeros((BUCKETS, 0))
-    return Model(languages, np.ascontiguousarray(weights, np.float32), np.array([m[1] for m in machines]), np.array([m[2] for m in machines]), families, between, within)
+    unit = (1 << 24) / max(1e-12, float(np.abs(weights).max())) if weights.size else 1.0
+    return Model(languages, np.ascontiguousarray(np.rint(weights * unit), np.int32), unit, np.array([m[1] for m in machines]), np.array([m[2] for m in machines]), families, between, within)
 
 
 def training_sample(docs: DataFrame, lang: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
