@@ -51,7 +51,7 @@ def family_of(lang: str) -> str:
 
 
 def ngrams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of all n-grams of each text, by start, shape (bytes, orders), and the texts' bounds."""
+    """Hash buckets of all n-grams of each text, by start, shape (bytes, orders), and the texts' bounds; 0: only blanks."""
     raw, offsets = text_bytes(pc.utf8_lower(text.cast(pa.large_string())))
     x = _LETTER[raw].astype(np.uint32)
     # blanks after each text keep its last n-grams apart from the next text's
@@ -68,7 +68,8 @@ def ngrams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         key = key | (padded[order - 1 : order - 1 + n] << np.uint32(8 * (order - 1)))
         if order in _ORDERS:
             h = (key ^ (key >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * order)
-            out[:, _ORDERS.index(order)] = (h >> np.uint32(19)).astype(np.int32) & (BUCKETS - 1)
+            bucket = np.maximum(1, (h >> np.uint32(19)).astype(np.int32) & (BUCKETS - 1))
+            out[:, _ORDERS.index(order)] = np.where(key == np.uint32(0x20202020 >> (8 * (4 - order))), 0, bucket)
     between = np.ones(n, bool)
     between[places] = False
     out[between] = 0  # what begins between two texts is of neither
@@ -93,10 +94,13 @@ class Model:
         if not len(grams):
             return np.tile(self.bias, (len(text), 1))
         sums = np.zeros((len(bounds) - 1, len(self.bias)), np.int64)
+        counts = np.zeros(len(sums), np.int64)
         for order in range(grams.shape[1]):
+            starts = np.minimum(bounds[:-1], len(grams) - 1)
+            counts += np.add.reduceat(grams[:, order] > 0, starts, dtype=np.int64)
             rows = self.weights[grams[:, order]]
-            sums += np.add.reduceat(rows, np.minimum(bounds[:-1], len(rows) - 1), axis=0, dtype=np.int64)
-        return sums / self.unit / np.maximum(1, np.diff(bounds) * grams.shape[1])[:, None] + self.bias
+            sums += np.add.reduceat(rows, starts, axis=0, dtype=np.int64)
+        return sums / self.unit / np.maximum(1, counts)[:, None] + self.bias
 
     def predict(self, text: pa.Array) -> tuple[list[str], np.ndarray]:
         """The language of each text and a score from 0 to 1; ``und`` and 0 for a null or a text without letters."""
@@ -157,7 +161,9 @@ def fit(texts: pa.Array, langs: list[str]) -> Model:
     for lo in range(0, len(texts), AT_ONCE):
         grams, bounds = ngrams(texts.slice(lo, AT_ONCE))
         for t, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), lo):
-            x[t] = np.bincount(grams[a:b].ravel(), minlength=BUCKETS) / max(1, (b - a) * grams.shape[1])
+            x[t] = np.bincount(grams[a:b].ravel(), minlength=BUCKETS)
+            x[t, 0] = 0
+            x[t] /= max(1, x[t].sum())
     scale = np.zeros(BUCKETS)
     if len(texts):
         scale = 1 / np.sqrt(np.maximum(x.mean(axis=0), 1e-6))  # rare n-grams count as much as frequent ones
