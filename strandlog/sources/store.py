@@ -63,7 +63,7 @@ class _State:
         return out
 
 
-class EventStore:
+class LogStore:
     """Reads and writes one event log under ``path``."""
 
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None, middlewares: Sequence[tuple[str, Any]] = ()):
@@ -232,7 +232,7 @@ class EventStore:
 class Transaction:
     """Writes that are committed together, and reads that see them."""
 
-    def __init__(self, store: EventStore, state: _State, read_only: bool):
+    def __init__(self, store: LogStore, state: _State, read_only: bool):
         self.store, self.state, self.read_only = store, state, read_only
         self.rows: list[dict[str, Any]] = []
         self.tombstones: list[dict[str, Any]] = []

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from strandlog.errors import SubscriptionHandlerError
 from strandlog.operators.links import cursor_position, resolve_links
 from strandlog.operators.reads import select_log
-from strandlog.sources.store import EventStore
+from strandlog.sources.store import LogStore
 from strandlog.streaming.commits import commit_stream
 from strandlog.streaming.state import StateStore, SubscriptionState
 
@@ -52,7 +52,7 @@ class Timings:
 class Subscription:
     """One consumer. ``handler`` takes a row (dict), or with ``in_batches`` a DataFrame."""
 
-    def __init__(self, store: EventStore, state: SubscriptionState, handler: Callable[[Any], None], in_batches: bool = False, on_change: Callable[[str, str], None] | None = None):
+    def __init__(self, store: LogStore, state: SubscriptionState, handler: Callable[[Any], None], in_batches: bool = False, on_change: Callable[[str, str], None] | None = None):
         self.store, self.handler, self.in_batches, self.on_change = store, handler, in_batches, on_change
         self.states, self.timings = StateStore(store.files), Timings()
         self.row, self.owner = state, ""
@@ -202,7 +202,7 @@ class Subscription:
 class SubscriptionManager:
     """A set of subscriptions of one process, under one lease."""
 
-    def __init__(self, store: EventStore, set_name: str, force_lock: bool = False):
+    def __init__(self, store: LogStore, set_name: str, force_lock: bool = False):
         self.store, self.set_name, self.force_lock = store, set_name, force_lock
         self.states = StateStore(store.files)
         self.subscriptions: dict[str, Subscription] = {}

@@ -9,7 +9,7 @@ import pytest
 from strandlog import errors
 from strandlog.config import Config
 from strandlog.schema import Event, Stream
-from strandlog.sources.store import EventStore
+from strandlog.sources.store import LogStore
 from strandlog.streaming.state import StateStore, SubscriptionState
 from strandlog.streaming.subscriptions import Subscription, SubscriptionManager, Timings, next_chunk_size
 
@@ -18,7 +18,7 @@ A, B = Stream("FooCtx", "Foo", "1"), Stream("BarCtx", "Bar", "")
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return EventStore(spark, str(tmp_path / "store"))
+    return LogStore(spark, str(tmp_path / "store"))
 
 
 def ids(df):
@@ -80,7 +80,7 @@ def test_delete_and_compact(store):
     assert ids(store.read(A)) == [*want, ("f", 3)]
     store.append(B, Event("y"), expected_revision="no_stream")
     assert ids(store.read(B)) == [("y", 0)]
-    assert EventStore(store.spark, store.path).stream_revision(A) == 3
+    assert LogStore(store.spark, store.path).stream_revision(A) == 3
 
 
 def test_too_many_to_renumber(store, monkeypatch):
@@ -114,7 +114,7 @@ def test_multiple_is_atomic(store):
 
 def test_concurrent_writers(store, spark):
     def write(kind, n):
-        own = EventStore(spark, store.path)
+        own = LogStore(spark, store.path)
         for _ in range(3):
             own.append(A, [Event(kind)] * n)
 
@@ -152,7 +152,7 @@ class Upper:
 
 
 def test_middlewares(spark, tmp_path):
-    store = EventStore(spark, str(tmp_path / "s"), middlewares=[("upper", Upper())])
+    store = LogStore(spark, str(tmp_path / "s"), middlewares=[("upper", Upper())])
     store.append(A, Event("a", {"k": "v"}))
     assert store.read(A).first().data == '{"K": "V"}'
     assert store.read(A).first().metadata == '{"seen": true}'
@@ -179,7 +179,7 @@ def test_subscription(store):
 
 def test_subscription_retries_without_loss(spark, tmp_path):
     failed = []
-    store = EventStore(spark, str(tmp_path / "s"), Config(failed_notifier=lambda row, e: failed.append(row.name)))
+    store = LogStore(spark, str(tmp_path / "s"), Config(failed_notifier=lambda row, e: failed.append(row.name)))
     store.append(A, [Event(t) for t in "abc"])
     got, broken = [], {"b": 2}
 
