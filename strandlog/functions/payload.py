@@ -20,6 +20,16 @@ class PayloadTypes:
 
     def __init__(self) -> None:
         self.schemas: dict[str, T.StructType] = {}
+        self.classes: dict[str, type] = {}
+
+    def register_class(self, event_type: str, cls: type) -> PayloadTypes:
+        """The Python class that handlers get for events of a type."""
+        self.classes[event_type] = cls
+        return self
+
+    def build(self, event: dict, base: type = dict):
+        """An event (as a dict) as its type's class, or as ``base`` where none is registered."""
+        return self.classes.get(event["type"], base)(**event)
 
     def register(self, event_type: str, schema: T.StructType | str) -> PayloadTypes:
         self.schemas[event_type] = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

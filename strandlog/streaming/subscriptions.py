@@ -242,6 +242,18 @@ class SubscriptionManager:
         if self.owner:
             self.states.heartbeat(self.set_name, self.owner)
 
+    def restart_failed(self) -> int:
+        """Start again, as often as allowed, the subscriptions whose query has ended with an error; their number."""
+        n = 0
+        for s in self.subscriptions.values():
+            error = s.query.exception() if s.query is not None and not s.query.isActive else None
+            if error is not None:
+                s.query = None
+                if s._recover(error):
+                    s.start()
+                    n += 1
+        return n
+
     def stop(self) -> None:
         for s in self.subscriptions.values():
             s.stop()
