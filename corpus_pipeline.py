@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandlog.llm import decontaminate, language, near_dup, packing, token_files, toxicity
-from strandlog.llm.common import Scratch, read_table
+from strandlog.llm.common import Scratch, read_table, without
 
 #: A document is rejected if its language can't be told, or is told with less than this score.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -28,16 +28,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that score below TOXIC, by the labels of ``labels``."""
     scores = toxicity.toxicity(docs, read_table(spark, sf_dir, "labels"))
-    bad = scores.where(F.col("score") >= TOXIC).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return without(docs, scores.where(F.col("score") >= TOXIC))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (five words, 0.8): the one with the least doc_id, once."""
     found = near_dup.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"])
+    left = without(docs, found.where(~F.col("kept")))
+    again = left.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    again = Scratch(spark).cut(again, "repeated-ids")
+    if again.isEmpty():
+        return left
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return without(left, again).unionByName(once.select(*left.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

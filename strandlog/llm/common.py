@@ -31,6 +31,20 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of a few numbers up to which a table is broadcast (about 50 MB as a hash table); beyond, both sides are shuffled.
+BROADCAST_ROWS = 300_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids`` (doc_id; null is an id like others).
+
+    The ids are written first, so that their number is known: a small table is broadcast and no text is moved.
+    """
+    known = Scratch(docs.sparkSession).cut(ids.select("doc_id").distinct(), "ids")
+    side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    return docs.alias("d").join(side.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), "left_anti")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandlog.llm.common import Scratch
+from strandlog.llm.common import Scratch, without
 
 WINDOW = 8
 SHARE = 0.5
@@ -109,8 +109,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that any benchmark item leaked into."""
-    bad = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.alias("d").join(bad.alias("b"), _same("d", "b", "doc_id"), "left_anti")
+    return without(docs, leaks(docs, benchmark))
 
 
 def oracle(window: int = WINDOW, share: float = SHARE, slots: float = SLOTS) -> str:

@@ -33,7 +33,7 @@ FAMILIES = {
 }
 
 #: Labelled rows of each language that the machines are fitted on, about.
-PER_LANGUAGE = 600
+PER_LANGUAGE = 400
 #: Texts of the sample that are looked at together, to bound the driver's memory.
 AT_ONCE = 256
 #: Hash buckets of the n-grams.
@@ -129,30 +129,35 @@ class Model:
         return langs, np.where(letters, np.clip(score, 0, 1), 0.0)
 
 
-def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 40, c: float = 8.0) -> tuple[np.ndarray, float, float]:
-    """A linear machine (squared hinge loss, dual coordinate descent) and the slope that makes its margins log-odds."""
+def _machine(x: np.ndarray, squares: np.ndarray, rows: np.ndarray, y: np.ndarray, rounds: int = 40, c: float = 8.0) -> tuple[np.ndarray, float, float]:
+    """A linear machine (squared hinge loss, dual coordinate descent) and the slope that makes its margins log-odds.
+
+    It is fitted on the given rows of ``x``, which is not copied; ``squares`` are the rows' squared lengths.
+    """
     n = len(y)
-    xb = np.hstack([x, np.ones((n, 1), np.float32)])
-    w, alpha = np.zeros(xb.shape[1]), np.zeros(n)
+    w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(n)
     cost = c * n / (2.0 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
-    diagonal = (xb.astype(np.float64) ** 2).sum(axis=1) + 1 / (2 * cost)
+    diagonal = squares[rows] + 1 + 1 / (2 * cost)
     rng = np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(n):
-            g = y[i] * (xb[i] @ w) - 1 + alpha[i] / (2 * cost[i])
+            row = x[rows[i]]
+            g = y[i] * (row @ w + bias) - 1 + alpha[i] / (2 * cost[i])
             new = max(0.0, alpha[i] - g / diagonal[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * xb[i]
+                step = (new - alpha[i]) * y[i]
+                w += step * row
+                bias += step
                 moved = max(moved, abs(new - alpha[i]) * diagonal[i])
                 alpha[i] = new
         if moved < 1e-2:
             break
-    margin, slope = (xb @ w) * y, 1.0
+    margin, slope = ((x @ w.astype(np.float32))[rows] + bias) * y, 1.0
     for _ in range(50):  # one-parameter logistic regression
         q = 1 / (1 + np.exp(np.clip(slope * margin, -30, 30)))
         slope = float(np.clip(slope + (margin * q).sum() / ((margin**2 * q * (1 - q)).sum() + 1e-3), 0.5, 12))
-    return w[:-1], float(w[-1]), slope
+    return w, float(bias), slope
 
 
 def fit(texts: pa.Array, langs: list[str]) -> Model:
@@ -166,9 +171,12 @@ def fit(texts: pa.Array, langs: list[str]) -> Model:
             x[t] /= max(1, x[t].sum())
     scale = np.zeros(BUCKETS)
     if len(texts):
-        scale = 1 / np.sqrt(np.maximum(x.mean(axis=0), 1e-6))  # rare n-grams count as much as frequent ones
-        scale /= max(1e-9, float(np.sqrt(((x * scale) ** 2).sum(axis=1)).mean()))
+        scale = 1 / np.sqrt(np.maximum(x.mean(axis=0, dtype=np.float64), 1e-6))  # rare n-grams count as much as frequent ones
         x *= scale.astype(np.float32)
+        norm = max(1e-9, float(np.sqrt(np.einsum("ij,ij->i", x, x)).mean()))
+        x /= np.float32(norm)
+        scale /= norm
+    squares = np.einsum("ij,ij->i", x, x).astype(np.float64)
     languages = sorted(set(langs))
     y = np.array([languages.index(z) for z in langs], int)
     families = sorted({family_of(z) for z in languages})
@@ -179,7 +187,7 @@ def fit(texts: pa.Array, langs: list[str]) -> Model:
     for sides, pairs in ((mine[y] if len(y) else y, between), (y, within)):
         for a, b in pairs:
             rows = np.flatnonzero((sides == a) | (sides == b))
-            machines.append(_machine(x[rows], np.where(sides[rows] == a, 1.0, -1.0)))
+            machines.append(_machine(x, squares, rows, np.where(sides[rows] == a, 1.0, -1.0)))
     weights = np.stack([m[0] * scale for m in machines], axis=1) if machines else np.zeros((BUCKETS, 0))
     unit = (1 << 24) / max(1e-12, float(np.abs(weights).max())) if weights.size else 1.0
     return Model(languages, np.ascontiguousarray(np.rint(weights * unit), np.int32), unit, np.array([m[1] for m in machines]), np.array([m[2] for m in machines]), families, between, within)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandlog.llm import shingles as sh
-from strandlog.llm.common import Scratch, slices, text_bytes
+from strandlog.llm.common import BROADCAST_ROWS, Scratch, slices, text_bytes
 from strandlog.llm.components import connected_components
 
 SKETCH, ROWS = 128, 4
@@ -36,8 +36,6 @@ SKETCH, ROWS = 128, 4
 SKETCH_LEAST = 76
 #: Members outside a bucket's largest component, and members of the bucket, that are compared at once, about.
 OUTSIDE, INSIDE = 64, 256
-#: Candidate ids (8 bytes each) up to which they are broadcast to the scan of the texts.
-BROADCAST_IDS = 2_000_000
 
 _SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"
 
@@ -116,7 +114,7 @@ class _Linker:
         near = self.scratch.cut(_alike(with_both), "alike")
         ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
         ids = self.scratch.cut(ids, "alike-ids")
-        if ids.count() <= BROADCAST_IDS:
+        if ids.count() <= BROADCAST_ROWS:
             ids = F.broadcast(ids)
         texts = self.docs.where(F.col("text").isNotNull()).join(ids, "doc_id", "left_semi")
         texts = self.scratch.cut(texts.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")), "alike-texts")
