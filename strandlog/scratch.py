@@ -7,13 +7,18 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Temporary folders of sessions that name no shared folder (tests, a single machine), by application.
+_own: dict[str, str] = {}
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="strandlog-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="strandlog-")
+        base = _own[app]
     return base.rstrip("/")
 
 
