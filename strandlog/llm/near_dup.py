@@ -9,8 +9,8 @@
    verified on the full sets of their texts.
 4. Verified links give components. A bucket whose members are in one component needs no more pairs. In any other, the
    members outside its largest component are compared with the bucket by their sketches, block by block inside tasks (bounded
-   blocks of hashed members; only pairs that pass leave a task, each from the first of the bands that it shares). These
-   pairs are verified like the others.
+   blocks of hashed members, each pair in the first of the bands that it shares). Alike pairs of small buckets are verified
+   like the others; those of large buckets are verified where they are compared, so that only links leave the task.
 
 No step emits the pairs of a group, gathers a group in one task, or sends more than counts to the driver.
 
@@ -36,6 +36,8 @@ SKETCH, ROWS = 128, 4
 SKETCH_LEAST = 76
 #: Members outside a bucket's largest component, and members of the bucket, that are compared at once, about.
 OUTSIDE, INSIDE = 64, 256
+#: Members of a bucket up to which its alike pairs leave the task to be verified; in larger ones they are verified there.
+FEW = 16
 
 _SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"
 
@@ -107,37 +109,56 @@ class _Linker:
         self.docs = docs.select(F.col("doc_id").cast("long"), "text")
         self.reps, self.scratch, self.width, self.percent = reps, scratch, width, percent
 
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, text) of the given ids (doc_id), each text of an id once."""
+        ids = self.scratch.cut(ids.distinct(), "text-ids")
+        if ids.count() <= BROADCAST_ROWS:
+            ids = F.broadcast(ids)
+        found = self.docs.where(F.col("text").isNotNull()).join(ids, "doc_id", "left_semi")
+        return self.scratch.cut(found.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")), "texts")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """``pairs``: (a, b) with a < b."""
         sketches = self.reps.select("doc_id", "sketch")
         with_both = pairs.distinct().join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
         near = self.scratch.cut(_alike(with_both), "alike")
-        ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-        ids = self.scratch.cut(ids, "alike-ids")
-        if ids.count() <= BROADCAST_ROWS:
-            ids = F.broadcast(ids)
-        texts = self.docs.where(F.col("text").isNotNull()).join(ids, "doc_id", "left_semi")
-        texts = self.scratch.cut(texts.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")), "alike-texts")
+        texts = self.texts(near.select(F.explode(F.array("a", "b")).alias("doc_id")))
         rows = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        out = self.scratch.cut(verified(rows, self.width, self.percent).distinct(), "links")
+        out = self.scratch.cut(verified(rows, self.width, self.percent), "links")
         for t in (near, texts):
             self.scratch.drop(t)
         return out
 
-
-def _across(members: DataFrame, components: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) across components, within buckets (key, id), whose sketches are alike; each distinct pair about once."""
-    of = components.select(F.col("node").alias("id"), "component")
-    placed = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    state = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
-    bands = reps.select(F.col("doc_id").alias("id"), "bands", "sketch")
-    rows = scratch.cut(placed.join(state, "key"), "open-buckets").join(bands, "id")
+    def across(self, members: DataFrame, components: DataFrame) -> DataFrame:
+        """Links between components, of members (key, id) of the same buckets."""
+        of = components.select(F.col("node").alias("id"), "component")
+        placed = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+        state = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+        bands = self.reps.select(F.col("doc_id").alias("id"), "bands", "sketch")
+        rows = self.scratch.cut(placed.join(state, "key").join(bands, "id"), "open-buckets")
+        small = rows.where(F.col("n") <= FEW).withColumn("text", F.lit(""))
+        found = self.links(_compared(small))
+        large = rows.where(F.col("n") > FEW)
+        if large.isEmpty():
+            return found
+        texts = self.texts(large.select(F.col("id").alias("doc_id")))
+        large = large.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+        return found.unionByName(self.scratch.cut(_compared(large, self.width, self.percent), "links-of-large-buckets"))
+
+
+def _compared(rows: DataFrame, width: int = 0, percent: int = 0) -> DataFrame:
+    """Pairs (a, b) across components, within buckets, whose sketches are alike; with a ``width``, verified links.
+
+    A bucket's members outside its largest component are compared with all its members, in blocks of hashed members. A
+    pair counts in the bucket of the first band that it shares, so it comes about once. Of two components that one block
+    has found linked, no more pairs are verified there: what counts is that they are one.
+    """
 
     def blocks(df: DataFrame, size: int, total: str, name: str) -> DataFrame:
         number = F.pmod(F.xxhash64("id"), F.ceil(F.expr(total) / size))
-        held = df.groupBy("key", number.alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "component", "bands", "sketch")).alias("m"))
-        return held.select("key", *[F.col(f"m.{c}").alias(f"{name}_{c}") for c in ("id", "component", "sketch")], F.flatten("m.bands").alias(f"{name}_bands"))
+        held = df.groupBy("key", number.alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "component", "bands", "sketch", "text")).alias("m"))
+        return held.select("key", *[F.col(f"m.{c}").alias(f"{name}_{c}") for c in ("id", "component", "sketch", "text")], F.flatten("m.bands").alias(f"{name}_bands"))
 
     both = blocks(rows.where("component <> largest"), OUTSIDE, "n - most", "x").join(blocks(rows, INSIDE, "n", "y"), "key")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -148,13 +169,27 @@ def _across(members: DataFrame, components: DataFrame, reps: DataFrame, scratch:
             for i, key in enumerate(at["key"].to_pylist()):
                 number = lambda n, i=i, at=at: at[n][i].values.to_numpy()
                 sketch = lambda n, i=i, at=at: np.frombuffer(b"".join(at[n][i].values.to_pylist()), np.uint8).reshape(-1, SKETCH)
+                cx, cy = number("x_component"), number("y_component")
                 alike = (sketch("x_sketch")[:, None] == sketch("y_sketch")[None]).sum(axis=2) >= SKETCH_LEAST
-                alike &= number("x_component")[:, None] != number("y_component")[None]
-                x, y = np.nonzero(alike)
+                x, y = np.nonzero(alike & (cx[:, None] != cy[None]))
                 bx, by = (number(f"{s}_bands").reshape(-1, SKETCH // ROWS) for s in "xy")
-                first = (bx[x] == by[y]).argmax(axis=1)
-                own = bx[x, first] == key
-                ids = np.stack([number("x_id")[x[own]], number("y_id")[y[own]]])
+                own = bx[x, (bx[x] == by[y]).argmax(axis=1)] == key
+                x, y = x[own], y[own]
+                if width and len(x):
+                    sx, ox = sh.shingle_sets(*text_bytes(at["x_text"][i].values), width)
+                    sy, oy = sh.shingle_sets(*text_bytes(at["y_text"][i].values), width)
+                    keep, one = np.zeros(len(x), bool), set()
+                    for k, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+                        if (cx[p], cy[q]) not in one:
+                            u, v = sx[ox[p] : ox[p + 1]], sy[oy[q] : oy[q + 1]]
+                            if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
+                                continue
+                            n = len(np.intersect1d(u, v, assume_unique=True))
+                            keep[k] = 100 * n >= percent * (len(u) + len(v) - n)
+                            if keep[k]:
+                                one.add((cx[p], cy[q]))
+                    x, y = x[keep], y[keep]
+                ids = np.stack([number("x_id")[x], number("y_id")[y]])
                 yield pa.RecordBatch.from_arrays([pa.array(ids.min(axis=0)), pa.array(ids.max(axis=0))], schema=schema)
 
     return both.mapInArrow(run, "a long, b long")
@@ -165,10 +200,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     scratch = Scratch(docs.sparkSession)
     sig = scratch.cut(signatures(docs, width), "signatures")
     full = sig.where("n_shingles > 0")
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.cut(classes, "classes")
-    reps = full.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")).where("doc_id is not null"), ["h1", "h2", "doc_id"], "left_semi").groupBy("doc_id", "h1", "h2").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = scratch.cut(reps, "representatives")
+    first = F.min_by(F.struct("doc_id", "bands", "sketch"), "doc_id")  # copies are one row before the shuffle
+    classes = scratch.cut(full.groupBy("h1", "h2").agg(first.alias("r")).select("h1", "h2", F.col("r.doc_id").alias("rep"), "r.bands", "r.sketch"), "classes")
+    reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "bands", "sketch")
     linker = _Linker(docs, reps, scratch, width, percent)
 
     rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
@@ -178,13 +212,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     components = scratch.cut(connected_components(links, scratch), "components")
 
     # a bucket's least member has been compared with all others
-    pairs = scratch.cut(_across(buckets.where("id <> pivot").select("key", "id"), components, reps, scratch).distinct(), "pairs-across")
-    if not pairs.isEmpty():
-        more = linker.links(pairs)
-        if not more.isEmpty():
-            components = scratch.cut(connected_components(links.unionByName(more), scratch), "components")
+    more = linker.across(buckets.where("id <> pivot").select("key", "id"), components)
+    if not more.isEmpty():
+        components = scratch.cut(connected_components(links.unionByName(more), scratch), "components")
 
-    named = classes.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
+    named = classes.select("h1", "h2", "rep").join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     moved = named.where("component is not null")
     out = sig.join(moved, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -70,10 +70,12 @@ def test_hot_groups(docs_of):
     assert run(docs, 4) == brute(rows, 4)
 
 
-def test_blocks_of_a_bucket(docs_of, monkeypatch):
+@pytest.mark.parametrize("few", [0, 3])
+def test_blocks_of_a_bucket(docs_of, monkeypatch, few):
     """With tiny blocks, a bucket's members are compared over many of them."""
     monkeypatch.setattr(near_dup, "OUTSIDE", 2)
     monkeypatch.setattr(near_dup, "INSIDE", 3)
+    monkeypatch.setattr(near_dup, "FEW", few)
     rng = random.Random(6)
     rows = []
     for g in range(2):
