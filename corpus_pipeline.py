@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandlog.llm import decontaminate, language, near_dup, packing, token_files, toxicity
-from strandlog.llm.common import Scratch, read_table, without
+from strandlog.llm.common import BROADCAST_ROWS, Scratch, by_row, read_table, row_key, without_rows
 
 #: A document is rejected if its language can't be told, or is told with less than this score.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -27,25 +27,36 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that score below TOXIC, by the labels of ``labels``."""
-    scores = toxicity.toxicity(docs, read_table(spark, sf_dir, "labels"))
-    return without(docs, scores.where(F.col("score") >= TOXIC))
+    scores = toxicity.row_scores(docs, read_table(spark, sf_dir, "labels"))
+    return without_rows(docs, scores.where(F.col("score") >= TOXIC))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (five words, 0.8): the one with the least doc_id, once."""
-    found = near_dup.near_duplicates(docs)
-    left = without(docs, found.where(~F.col("kept")))
-    again = left.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    again = Scratch(spark).cut(again, "repeated-ids")
+    """Keep one row of each group of near copies (five words, 0.8): the one with the least doc_id (null is the last), once.
+
+    Rows are compared, not ids: of an id with several texts, and of the rows without an id, only the copies go.
+    """
+    scratch = Scratch(spark)
+    found = scratch.cut(near_dup.near_duplicates(by_row(docs)).select(F.col("doc_id").alias("row"), "component_id"), "components-of-rows")
+    group = found.where("row <> component_id").distinct()
+    group = scratch.cut(group.unionByName(group.select(F.col("component_id").alias("row"), "component_id").distinct()), "groups")
+    side = F.broadcast(group) if group.count() <= BROADCAST_ROWS else group
+    named = docs.select("doc_id", row_key().alias("row")).join(side, "row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
+    kept = scratch.cut(named.groupBy("component_id").agg(first.alias("row")), "kept-rows")
+    gone = scratch.cut(group.join(kept, "row", "left_anti").select("row"), "gone-rows")
+    again = found.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row")
+    again = scratch.cut(again.join(gone, "row", "left_anti"), "repeated-rows")
     if again.isEmpty():
-        return left
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return without(left, again).unionByName(once.select(*left.columns))
+        return without_rows(docs, gone)
+    once = docs.withColumn("row_once", row_key()).join(again.select(F.col("row").alias("row_once")), "row_once", "left_semi").dropDuplicates(["row_once"])
+    return without_rows(docs, gone.unionByName(again)).unionByName(once.select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that hold no item of ``benchmark``."""
-    return decontaminate.decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    """Keep the rows that hold no item of ``benchmark``."""
+    found = decontaminate.leaks(by_row(docs), read_table(spark, sf_dir, "benchmark"))
+    return without_rows(docs, found.select(F.col("doc_id").alias("row")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,23 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.alias("d").join(side.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), "left_anti")
 
 
+def row_key() -> Column:
+    """What tells rows of a document table apart: rows of equal doc_id and text are one, all others have keys of their own."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text", F.col("doc_id").isNull(), F.col("text").isNull())
+
+
+def by_row(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of ``docs`` with the row's key in the place of the doc_id."""
+    return docs.select(row_key().alias("doc_id"), "text")
+
+
+def without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose row_key() is in ``keys`` (row); written first, as in without()."""
+    known = Scratch(docs.sparkSession).cut(keys.select("row").distinct(), "rows")
+    side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    return docs.join(side.select(F.col("row").alias("row_without")), row_key() == F.col("row_without"), "left_anti")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

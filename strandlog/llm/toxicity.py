@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from strandlog.llm import shingles as sh
-from strandlog.llm.common import Scratch, fold, slices, text_bytes
+from strandlog.llm.common import Scratch, fold, row_key, slices, text_bytes
 
 #: Labelled examples of each label, about; the sample is dealt by a hash of the row.
 EXAMPLES = 1500
@@ -239,8 +239,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: in
     ``labels`` (doc_id, toxic): only these rows are learned from. A null text is empty. Repeated rows get equal scores;
     an example's own text may be its evidence. Without labels of both kinds every score is the rate of label 1.
     """
+    return row_scores(docs, labels, examples, k).select("doc_id", "score", "evidence")
+
+
+def row_scores(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS) -> DataFrame:
+    """toxicity() with each row's row_key() as ``row``."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
     sample = labelled_sample(docs, labels, examples).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     text = pc.fill_null(sample.column("text").combine_chunks().cast(pa.string()), "") if sample.num_rows else pa.array([], pa.string())
     toxic = np.array(sample.column("toxic").to_pylist(), dtype=float) > 0
@@ -256,9 +261,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: in
             for part in slices(batch, "text", 1 << 20):
                 which, term, count = counts_in(part.column("text"), held.value)
                 at = np.searchsorted(which, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(term, pa.int32())), pa.ListArray.from_arrays(pa.array(at), pa.array(count, pa.int32()))], names=["doc_id", "terms", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(term, pa.int32())), pa.ListArray.from_arrays(pa.array(at), pa.array(count, pa.int32())), part.column("row")], names=["doc_id", "terms", "counts", "row"])
 
-    reduced = scratch.cut(docs.mapInArrow(reduce_texts, "doc_id long, terms array<int>, counts array<int>"), "toxicity-terms")
+    reduced = scratch.cut(docs.mapInArrow(reduce_texts, "doc_id long, terms array<int>, counts array<int>, row long"), "toxicity-terms")
     df = np.zeros(len(vocab))
     for r in reduced.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # TERMS lines at most
         df[r[0]] = r[1]
@@ -277,9 +282,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: in
                 ids, sims = ix.nearest(term, ix.weights(np.array(count), term), k)
                 scores.append(ix.calibrated(ix.vote(ids, sims)) if len(ids) else ix.silent)
                 evidence.append(" ".join(f"{ix.doc_ids[i]}:{s:.3f}" for i, s in zip(ids, sims, strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.string())], names=["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.string()), batch.column("row")], names=["doc_id", "score", "evidence", "row"])
 
-    return reduced.mapInArrow(score, "doc_id long, score double, evidence string")
+    return reduced.mapInArrow(score, "doc_id long, score double, evidence string, row long")
 
 
 def learnable(labels: DataFrame) -> DataFrame:

@@ -127,3 +127,32 @@ def test_pipeline_stages(spark, tmp_path):
             assert len(after) >= 0.8 * len(before)
         if name == "language_id":
             assert len(after) >= 0.98 * len(before)
+
+
+def test_stages_decide_by_row(spark, docs_of, tmp_path):
+    """Two unique rows without an id, and an id with two texts of which one is to go: only that row goes, in each stage."""
+    plain = [f"p{k}a p{k}b goodword p{k}c p{k}d" for k in range(40)]
+    rude = [f"x{k}a x{k}b badword x{k}c x{k}d" for k in range(40)]
+    item = "Which river flows through the old town of seven bridges and ends in the northern sea behind the dunes?"
+    for name, rows, schema in (
+        ("labels", [(k, int(k >= 100), 1) for k in (*range(40), *range(100, 140))], "doc_id long, toxic int, quality int"),
+        ("benchmark", [(1, item)], "item_id long, text string"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    learned = [(k, t) for k, t in enumerate(plain)] + [(100 + k, t) for k, t in enumerate(rude)]
+    one, two, other = ("first lonely sentence of a kind here now", "second lonely sentence of another sort there then", "third thing that an id with two texts also says")
+
+    def after(stage, rows):
+        out = stage(spark, docs_of(rows), str(tmp_path))
+        assert out.columns == docs_of(rows).columns
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    unique = [(None, one), (None, two), (500, other)]
+    want = sorted(unique, key=str)
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    near = [(1, base), (500, base), (None, base + " and"), (None, one), (3, other + " x y z"), (3, other + " x y z")]
+    assert after(corpus_pipeline.near_dup_stage, unique + near) == sorted([*want, (1, base), (3, other + " x y z")], key=str)
+    assert len(after(corpus_pipeline.near_dup_stage, [(None, base), (None, base + " and"), *unique])) == 4
+    got = after(corpus_pipeline.toxicity_stage, learned + unique + [(500, rude[0]), (None, rude[1])])
+    assert [x for x in got if x[0] in (None, 500)] == want
+    assert after(corpus_pipeline.decontamination_stage, unique + [(500, "so " + item), (None, "then " + item)]) == want
