@@ -6,12 +6,19 @@ table of fixed size; a few open sentence forms (a licence named in free words) a
 reading order are a sequence, and a rule is an ordered list of identifiers that must stand in it one after another, other
 licence sentences between them allowed. Everything is built-in column functions.
 
+A known sentence may also stand on several such parts of a text that follow each other (a hard-wrapped text, a comment, or
+a sentence with ``v. 2.0.`` in it): it is found where it begins with one part and ends with another. Of sentences within
+each other the longer one counts. The SQL of oracle() knows the parts only, not sentences that are wrapped.
+
 Defined results: a null or empty text has no sentences, an empty list and no licence; repeated rows give repeated rows;
 very long texts are scanned whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Sentence identifier | sentence of a public licence text or notice.
@@ -120,6 +127,28 @@ def sentence_table(spark: SparkSession) -> DataFrame:
     return parts.groupBy("sentence").agg(F.min("sid").alias("sid"))
 
 
+def wrapped(texts: DataFrame) -> DataFrame:
+    """(row, place, stop, sid): known sentences on several following parts of the texts (row, text); parts without words don't count."""
+    known = sentence_table(texts.sparkSession)
+    table = [(r.sentence, r.sid) for r in known.collect()]  # the fixed table
+    most = max(len(s.split()) for s, _ in table)  # every part has a word at least
+    sentence = F.array(*[F.lit(s) for s, _ in table])
+    # only texts that hold a known sentence, wherever their parts end, are looked at part by part
+    holds = lambda t: reduce(or_, [t.contains(s) for s, _ in table])
+    texts = texts.where(F.exists(F.array(normalised(F.col("text"))), holds))
+    parts = F.transform(sentences(F.col("text")), lambda s, i: F.struct(i.alias("place"), normalised(s).alias("s")))
+    parts = texts.select("row", F.filter(parts, lambda x: x["s"] != "").alias("parts"))
+    begins = lambda x: F.exists(sentence, lambda k: k.startswith(F.concat(x["s"], F.lit(" "))))
+    at = F.filter(F.transform("parts", lambda x, i: F.when(begins(x), i)), lambda i: i.isNotNull())
+    rows = parts.select("row", "parts", F.explode(at).alias("at")).select("row", F.slice("parts", F.col("at") + 1, most).alias("run"))
+    rows = rows.withColumn("line", F.concat(F.array_join(F.transform("run", lambda x: x["s"]), " "), F.lit(" ")))
+    rows = rows.join(F.broadcast(known), F.col("line").startswith(F.concat("sentence", F.lit(" "))))
+    # the part behind which the sentence ends, if it ends with one
+    ends = F.filter(F.sequence(F.lit(2), F.size("run")), lambda n: F.array_join(F.transform(F.slice("run", 1, n), lambda x: x["s"]), " ") == F.col("sentence"))
+    rows = rows.where(F.size("run") > 1).withColumn("n", F.get(ends, F.lit(0))).where("n is not null")
+    return rows.select("row", F.col("run")[0]["place"].alias("place"), F.get("run", F.col("n") - 1)["place"].alias("stop"), "sid")
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, licenses (sorted, joined by a blank), sequence (identifiers in order), n_sentences for every row of ``docs``."""
     form = F.lit(None).cast("string")
@@ -127,10 +156,15 @@ def scan(docs: DataFrame) -> DataFrame:
         form = F.coalesce(form, F.when(F.col("sentence").rlike(f"^{pattern}$"), F.lit(sid)))
     base = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
     hinted = F.filter(F.transform(sentences(F.col("text")), lambda s, i: F.struct(i.alias("place"), s.alias("raw"))), lambda x: F.lower(x["raw"]).rlike(HINT))
-    parts = base.where(F.lower("text").rlike(HINT)).select("doc_id", "row", F.explode(hinted).alias("s")).select("doc_id", "row", "s.place", normalised(F.col("s.raw")).alias("sentence"))
+    likely = base.where(F.lower("text").rlike(HINT.replace(" ", "[^\\p{L}\\p{N}]+")))
+    parts = likely.select("doc_id", "row", F.explode(hinted).alias("s")).select("doc_id", "row", "s.place", normalised(F.col("s.raw")).alias("sentence"))
     known = parts.join(F.broadcast(sentence_table(docs.sparkSession)), "sentence", "left").withColumn("sid", F.coalesce("sid", form)).where("sid is not null")
     # repeated rows share a key, so their places are counted once
-    by_row = known.select("row", "place", "sid").distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "sid"))).alias("found"))
+    known = known.select("row", "place", F.col("place").alias("stop"), "sid").unionByName(wrapped(likely.select("row", "text")))
+    by_row = known.distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "sid", "stop"))).alias("found"))
+    by_row = by_row.withColumn("long", F.filter("found", lambda x: x["stop"] > x["place"]))
+    inside = lambda x, y: (y["place"] <= x["place"]) & (y["stop"] >= x["stop"]) & (y["stop"] - y["place"] > x["stop"] - x["place"])
+    by_row = by_row.withColumn("found", F.when(F.size("long") > 0, F.filter("found", lambda x: ~F.exists("long", lambda y: inside(x, y)))).otherwise(F.col("found")))
     by_row = by_row.select("row", F.concat(F.lit(" "), F.array_join(F.transform("found", lambda x: x["sid"]), " "), F.lit(" ")).alias("sequence"), F.size("found").alias("n_sentences"))
     matched = F.array()
     for licence, ids in _pairs(RULES):

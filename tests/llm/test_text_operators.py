@@ -222,6 +222,49 @@ def test_licenses(docs_of):
     assert scan(docs_of([])) == []
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+
+
+def test_wrapped_licenses(docs_of):
+    of = {sid: raw for sid, raw in licenses._pairs(licenses.SENTENCES)}
+    rows = [(1, "Copyright 2020 X\n\n" + MIT), (2, BSD), (3, MPL), (4, GPL), (5, "One line: 1. " + of["mpl-notice"]), (6, MIT.replace("\n", "\r\n")), (7, MIT.replace(" ", "\n")), (8, MIT.replace("subject to", "and subject to")), (9, "This program is free\nsoftware;"), (3, MPL)]
+    got = {i: (a, b, n) for i, a, b, n in scan(docs_of(rows))}
+    mit = "mit-grant mit-notice as-is-mit"
+    assert got[1] == ("MIT", "copyright " + mit, 4) and got[6] == got[7] == ("MIT", mit, 3)
+    assert got[2] == ("BSD-2-Clause", "bsd-grant bsd-source bsd-binary", 3) and got[3] == ("MPL-2.0", "mpl-notice mpl-copy", 2)
+    assert got[4] == ("GPL-3.0-or-later", "gpl-free", 1) and got[5] == ("MPL-2.0", "mpl-notice", 1)
+    assert got[8] == ("", "mit-notice as-is-mit", 2) and got[9] == ("", "gpl2-free", 1)
+
+
 def duck_rows(sql, **tables):
     con = duckdb.connect()
     for name, path in tables.items():
