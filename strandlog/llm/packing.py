@@ -12,7 +12,6 @@ so a repeated task gives the same names.
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,10 +95,12 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 def pack(docs: DataFrame, vocabulary: str, end_id: int, spaced: bool = True, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text; null text: empty) with their windows: the columns of PIECES.
 
-    Every id of every document, with its end id, is in exactly one piece; the pieces of a window fill it from offset 0
-    without gaps. Repeated rows are packed as often as they stand there; other columns are ignored.
+    Every id of every document, with its end id, is in exactly one piece (``ids``: little-endian unsigned 32-bit integers);
+    the pieces of a window fill it from offset 0 without gaps. Defined results: a null or empty text is one piece of the end
+    id; repeated rows are packed as often as they stand there, and which of them lies in which window follows the order of
+    the input's partitions; ties in size go by that order too; an empty table has no pieces; other columns are ignored.
     """
-    end = np.asarray([end_id], "<u2").tobytes()
+    end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, base, serial = tokenizer(vocabulary, spaced), TaskContext.get().partitionId() << 40, 0
@@ -121,12 +122,12 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, spaced: bool = True, cap
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist()), strict=True):
-                    ids += end
-                    n = len(ids) // 2
+            for part in slices(batch, "text", 1 << 20):
+                for doc_id, short in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist()), strict=True):
+                    ids = np.frombuffer(short, "<u2").astype("<u4").tobytes() + end
+                    n = len(ids) // 4
                     for start, length in cuts(n, capacity):
-                        row = (doc_id, start, length, n, ids[2 * start : 2 * (start + length)])
+                        row = (doc_id, start, length, n, ids[4 * start : 4 * (start + length)])
                         if length == capacity:
                             out.append((*row[:4], base + serial, 0, row[4]))
                             serial += 1
@@ -144,5 +145,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, spaced: bool = True, cap
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
-def piece_checksum(ids: bytes) -> int:
-    return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4"))
+
+def with_checksums(rows: DataFrame) -> DataFrame:
+    """``rows`` with the crc32 of the column ids in its place, as ids_crc32."""
+    return rows.select(*[c for c in rows.columns if c != "ids"], F.crc32("ids").alias("ids_crc32"))

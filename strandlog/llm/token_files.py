@@ -7,14 +7,17 @@ skippable frame with the seek table of zstandard's seekable format: for each fra
 and the low 32 bits of XXH64 of its content. Any zstandard tool can decompress a shard; one that knows the format can seek.
 
 Shards are written by executors straight to the shared store (any URI that pyarrow.fs opens) under a name of their own for
-each attempt and then renamed, so a repeated task replaces its shard by the same bytes. The order of documents over all
-shards is ascending by doc_id (null first; equal ids by the hash of the text).
+each attempt; the manifest names those of the attempts that ended well, and what a lost attempt left is never read. The
+order of documents over all shards is ascending by doc_id (null first; equal ids by the hash of the text).
+
+Defined results: a null or empty text has the end id alone; repeated rows are as many documents, equal ones dealt over
+shards by the partition that they come from; ties in the order are between equal rows only; an empty table gives one empty
+shard; a text longer than a frame has a frame of its own; other columns are not read.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,10 +147,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
     many shards, and no shard depends on another. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("salt"))
+    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("salt"), F.spark_partition_id().alias("part"))
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     n = max(spark.sparkContext.defaultParallelism, -(-size // shard_text)) if size > 1 << 20 else 1
-    dealt = keyed.repartitionByRange(int(n), F.col("doc_id").asc_nulls_first(), "salt").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "salt")
+    dealt = keyed.repartitionByRange(int(n), F.col("doc_id").asc_nulls_first(), "salt", "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "salt")
     end = np.asarray([end_id], "<u2").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,26 +158,25 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
         store, base = open_store(path)
         store.create_dir(base, recursive=True)
         shard = task.partitionId()
-        final, attempt = f"{base}/ids-{shard:06d}.zst", f"{base}/.ids-{shard:06d}.{task.taskAttemptId()}"
+        name = f"{base}/ids-{shard:06d}-{task.taskAttemptId()}.zst"
         enc, rows = tokenizer(vocabulary, spaced), None
-        with store.open_output_stream(attempt, compression=None) as sink:
+        with store.open_output_stream(name, compression=None) as sink:
             rows = ShardWriter(sink)
             for batch in batches:
-                for part in slices(batch, "text", 2 << 20):
+                for part in slices(batch, "text", 1 << 20):
                     ids = part.column("doc_id").to_pylist()
                     for doc_id, tokens in zip(ids, enc.encode(part.column("text").to_pylist()), strict=True):
                         rows.add(doc_id, tokens + end)
             rows.finish()
-        store.move(attempt, final)
         scheme = path.split(":", 1)[0] + "://" if ":" in path else ""
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "path": scheme + final, "n_docs": rows.n_docs, "n_ids": rows.n_ids}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "path": scheme + name, "n_docs": rows.n_docs, "n_ids": rows.n_ids}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     manifest = dealt.select("doc_id", "text").mapInArrow(write, MANIFEST).collect()  # a line for each shard
     return spark.createDataFrame(sorted(manifest, key=lambda r: r.shard), MANIFEST)
 
 
 def read_token_files(manifest: DataFrame, frames_at_once: int = 1) -> DataFrame:
-    """Every document of the shards in a manifest: doc_id, start (ids of all documents before it), n_tokens, ids (bytes)."""
+    """Every document of the shards in a manifest: doc_id, start (ids of all documents before it), n_tokens, ids (unsigned 32-bit)."""
     spark = manifest.sparkSession
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as shards
     shards = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
@@ -190,27 +192,14 @@ def read_token_files(manifest: DataFrame, frames_at_once: int = 1) -> DataFrame:
                     starts = before + np.concatenate([[0], np.cumsum(reader.counts)])
                     for k in range(reader.n_frames):
                         rows = list(reader.documents([k]))
-                        yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([int(starts[r[0]]) for r in rows], pa.int64()), pa.array([len(r[2]) // reader.width for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], schema=schema)
+                        ids = [np.frombuffer(r[2], f"<u{reader.width}").astype("<u4").tobytes() for r in rows]
+                        yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([int(starts[r[0]]) for r in rows], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def id_checksums(docs: DataFrame, ids: str = "ids") -> DataFrame:
-    """Replace a column of 16-bit ids by ids_crc32: crc32 of the ids as little-endian unsigned 32-bit integers."""
-    fields = [f for f in docs.schema.fields if f.name != ids]
-    out = T.StructType([*fields, T.StructField("ids_crc32", T.LongType())])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(batch.schema.get_field_index(ids))
-            crc = [zlib.crc32(np.frombuffer(x.as_buffer(), "<u2").astype("<u4")) for x in raw]
-            keep = [k for k, f in enumerate(batch.schema) if f.name != ids]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(crc, pa.int64())], names=[*(batch.schema.field(k).name for k in keep), "ids_crc32"])
-
-    return docs.mapInArrow(check, out)
-
-
 def token_file_digest(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
     """Write all documents, read the files back, and return doc_id, start, n_tokens, ids_crc32."""
     manifest = write_token_files(docs, scratch_path(spark, "token-files"), vocabulary, end_id=1, spaced=False)
-    return id_checksums(read_token_files(manifest))
+    read = read_token_files(manifest)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

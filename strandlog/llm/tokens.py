@@ -1,129 +1,102 @@
 """Documents to token ids with a public tokenizer, at the speed of a dictionary look-up.
 
 Both tokenizers split a text before their merges in a way that no piece crosses from a visible character into the white
-space behind it, so every word can be encoded by itself. Each distinct word is split and merged once by a Python worker
-(text repeats most of its words) and its ids are kept as little-endian bytes; a text is then a join of bytes.
-A text with other white space than single blanks and newlines, or a word with letters outside Latin script,
-goes to the tokenizer whole.
+space behind it, so every word can be encoded by itself. Each distinct word of a batch that a Python worker has not
+encoded yet goes to the library once, all of them in one call, and its ids are kept as little-endian bytes; a text is then
+a join of bytes. A text with other white space than single blanks and newlines, or with a special string of the vocabulary
+in it (whose own id the library gives), goes to the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
-import unicodedata
+import re
 from array import array
 
-import regex
+from tokenizers import Tokenizer
 
-# The patterns by which the two vocabularies split text before merging.
-SPLIT_SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPLIT_BARE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-#: Distinct words and pieces of words that a worker remembers, about; bounds its memory, not the result.
-WORDS, PIECES = 300_000, 300_000
-
-
-def byte_letters() -> dict[int, str]:
-    """A printable character for each byte value: itself where Latin-1 shows one, else the next from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, free = {b: chr(b) for b in shown}, 256
-    for b in range(256):
-        if b not in out:
-            out[b], free = chr(free), free + 1
-    return out
+#: Distinct words that a worker remembers, about; bounds its memory, not the result.
+WORDS = 200_000
 
 
 class WordTokenizer:
-    """Encodes texts to ids (little-endian unsigned 16-bit integers) with a tokenizers JSON file.
+    """Encodes texts to ids (little-endian unsigned 16-bit integers) with a tokenizers JSON file, as the library does.
 
-    ``spaced``: the blank before a word belongs to its ids and case is kept (byte-level vocabularies);
-    else white space is dropped and text is composed and lower-cased first.
+    ``spaced``: the blank before a word belongs to its ids (byte-level vocabularies); else white space is dropped.
     """
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.spaced = spaced
-        self.pieces = regex.compile(SPLIT_SPACED if spaced else SPLIT_BARE).findall
-        self.latin = regex.compile(r"[\x21-\x7e\xa1-įı-ɏ]+").fullmatch
-        self.letters = byte_letters()
-        self.merge = self.tokenizer.model.tokenize
-        self.after_blank: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.merged: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        """The ids of a piece that is merged by itself."""
-        ids = self.merged.get(piece)
-        if ids is None:
-            shown = piece if piece.isascii() and piece.isalnum() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = self.merged[piece] = array("H", [t.id for t in self.merge(shown)]).tobytes()
-        return ids
-
-    def _word(self, word: str, blank: str) -> bytes:
-        """The ids of one word, with ``blank`` before it."""
-        core = word.rstrip(".,")
-        tail = word[len(core) :]
-        if core.isascii():
-            plain = core.isalpha()
-        elif self.latin(core):
-            plain = core.isalpha()
-        else:
-            return self._whole(blank + word)
-        if plain:  # one piece of letters, and one of the signs behind it
-            ids = self._piece(blank + (core if self.spaced else core.lower()))
-            return ids + self._piece(tail) if tail else ids
-        if not self.spaced:
-            word = unicodedata.normalize("NFC", word).lower()
-        return b"".join(map(self._piece, self.pieces(blank + word)))
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.heads = {x for t in added for x in (t[0].lower(), t[0].upper())}
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I).search
+        self.inner: dict[str, bytes] = {}  # words behind a blank
+        self.first: dict[str, bytes] = {}  # words that begin a line
+        self.signs: dict[str, bytes] = {"": b""}  # what stands behind a word
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str], known: dict[str, bytes], blank: str) -> dict[str, bytes]:
-        """Encode the new ones of ``words``; if too many are known, those that came before and now are kept."""
-        if len(self.merged) > PIECES:
-            self.merged = {}
+        """Encode the new ones of ``words``; if too many are known, those that came before and now are kept.
+
+        Of a word of letters with ``.`` or ``,`` behind it the letters are encoded, since the signs are pieces of their own.
+        """
         if len(known) > WORDS:
             known = {w: known[w] for w in words & known.keys()}
-        for word in words - known.keys():
-            known[word] = self._word(word, blank)
+        new = words - known.keys()
+        whole, ended = [], []
+        for w in new:
+            core = w.rstrip(".,")
+            if core != w and core.isascii() and core.isalpha():
+                ended.append((w, core))
+            else:
+                whole.append(w)
+        whole += {core for _, core in ended} - known.keys() - set(whole)
+        for w, ids in zip(whole, self._encode([blank + w for w in whole]), strict=True):
+            known[w] = ids
+        for w, core in ended:
+            sign = w[len(core) :]
+            tail = self.signs.get(sign)
+            if tail is None:
+                tail = self.signs[sign] = self._encode([sign])[0]
+            known[w] = known[core] + tail
+        if len(self.signs) > 1000:
+            self.signs = {"": b""}
         return known
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null is an empty text."""
-        plain: list[list[str] | None] = []
-        for x in texts:
-            words = x.split() if x else []
-            one_each = not x or x.count(" ") + x.count("\n") == len(words) - 1 == len(x) - len("".join(words))
-            plain.append(words if one_each else None)
-        words = set().union(*filter(None, plain))
-        if not self.spaced:
-            self.bare = self._learn(words, self.bare, "")
-            bare = self.bare.__getitem__
-            return [self._whole(x) if p is None else b"".join(map(bare, p)) for x, p in zip(texts, plain, strict=True)]
-        self.after_blank = self._learn(words, self.after_blank, " ")
-        if len(self.bare) > WORDS // 4:
-            self.bare = {}
-        get, bare, newline, out = self.after_blank.__getitem__, self.bare, self._whole("\n"), []
-        for x, p in zip(texts, plain, strict=True):
-            if p is None:
-                out.append(self._whole(x))
+        out: list[bytes] = [b""] * len(texts)
+        plain: list[tuple[int, list[str]]] = []
+        whole: list[int] = []
+        for i, x in enumerate(texts):
+            if not x:
                 continue
-            parts = []
-            for line in x.split("\n") if x else ():
-                words = iter(line.split(" "))
-                first = next(words)
-                ids = bare.get(first)
-                if ids is None:
-                    ids = bare[first] = self._word(first, "")
-                parts += (ids, b"".join(map(get, words)))
-            out.append(b"".join(parts) if len(parts) < 3 else newline.join(a + b for a, b in zip(parts[::2], parts[1::2], strict=True)))
+            words = x.split()
+            spaces = x.count(" ") + x.count("\n")
+            if spaces == len(words) - 1 == len(x) - sum(map(len, words)) and not (any(h in x for h in self.heads) and self.special(x)):
+                plain.append((i, words))
+            else:
+                whole.append(i)
+        for i in whole:  # one by one: any of them may be very long
+            out[i] = self._encode([texts[i]])[0]
+        if not self.spaced:
+            self.inner = self._learn(set().union(*(p for _, p in plain)), self.inner, "")
+            get = self.inner.__getitem__
+            for i, words in plain:
+                out[i] = b"".join(map(get, words))
+            return out
+        lines = [(i, [line.split(" ") for line in texts[i].split("\n")]) for i, _ in plain]
+        self.first = self._learn({line[0] for _, x in lines for line in x}, self.first, "")
+        self.inner = self._learn(set().union(*(line[1:] for _, x in lines for line in x)), self.inner, " ")
+        get, begin, newline = self.inner.__getitem__, self.first.__getitem__, self._encode(["\n"])[0]
+        for i, x in lines:
+            out[i] = newline.join(begin(line[0]) + b"".join(map(get, line[1:])) for line in x)
         return out
 
 
@@ -131,8 +104,9 @@ _HELD: dict[tuple, WordTokenizer] = {}
 
 
 def tokenizer(path: str, spaced: bool) -> WordTokenizer:
-    """The worker's own tokenizer; a worker that Spark uses again keeps what it has learned."""
+    """The worker's own tokenizer; a worker that Spark uses again keeps the last one and what it has learned."""
     key = (path, spaced)
     if key not in _HELD:
+        _HELD.clear()
         _HELD[key] = WordTokenizer(*key)
     return _HELD[key]

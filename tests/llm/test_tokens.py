@@ -10,7 +10,9 @@ import pyarrow.fs as pafs
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from strandlog.llm import packing, token_files
+from tokenizers import Tokenizer
+
+from strandlog.llm import packing, queries, token_files
 from strandlog.llm.tokens import WordTokenizer
 from tests.conftest import SF
 
@@ -18,13 +20,19 @@ BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 ODD = ["", None, "a  b", " x", "x ", "a\tb c", "it's we'll 'sx ''s", "a\n\nb", "\n", "é Éa Ö", "<|endoftext|> a", "a b c", "x\x85y z", "a\x1cb c", "日本 語 12,3.4", "a\0b c", "a\r\nb", "İx ǅa straße ẞ", "a.,b c.,", "ab12. 12ab, x's.", "é x", "a. b.\nC d. ..", "x" * 3000]
 
 
+#: The library as it comes.
+PLAIN = {BYTE: Tokenizer.from_file(BYTE), WORD: Tokenizer.from_file(WORD)}
+
+
 @pytest.fixture(scope="module", params=[(BYTE, True), (WORD, False)])
 def own(request):
-    return WordTokenizer(*request.param)
+    made = WordTokenizer(*request.param)
+    made.path = request.param[0]
+    return made
 
 
 def same(own, texts):
-    want = [np.asarray(e.ids, "<u2").tobytes() for e in own.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    want = [np.asarray(e.ids, "<u2").tobytes() for e in PLAIN[own.path].encode_batch([x or "" for x in texts], add_special_tokens=False)]
     assert own.encode(texts) == want
 
 
@@ -40,6 +48,7 @@ def test_any_text(texts):
         key = (path, spaced)
         if key not in _held:
             _held[key] = WordTokenizer(path, spaced)
+            _held[key].path = path
         same(_held[key], texts)
 
 
@@ -48,7 +57,6 @@ _held: dict = {}
 
 def test_forgetting_changes_nothing(own, monkeypatch):
     monkeypatch.setattr("strandlog.llm.tokens.WORDS", 2)
-    monkeypatch.setattr("strandlog.llm.tokens.PIECES", 2)
     for k in range(5):
         same(own, [f"word{k} word{k + 1} other, the end.", "the the\nend"])
 
@@ -57,14 +65,13 @@ def test_token_files_round_trip(spark, docs_of, tmp_path):
     rows = [(5, "b c"), (1, "a"), (None, "none"), (3, None), (5, "b c"), (9, "x " * 5000), (2, "")]
     manifest = token_files.write_token_files(docs_of(rows), f"file://{tmp_path}/t", WORD, 1, False)
     got = token_files.read_token_files(manifest).collect()
-    enc = WordTokenizer(WORD, False)
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 2, 3, 5, 5, 9]
     by_start = sorted(got, key=lambda r: r.start)
     assert [r.doc_id for r in by_start] == [None, 1, 2, 3, 5, 5, 9]
     at = 0
     for r in by_start:
         text = dict(rows)[r.doc_id]
-        assert bytes(r.ids) == enc.encode([text])[0] + b"\x01\x00" and r.start == at and r.n_tokens == len(r.ids) // 2
+        assert np.frombuffer(r.ids, "<u4").tolist() == [*PLAIN[WORD].encode(text or "", add_special_tokens=False).ids, 1] and r.start == at and r.n_tokens == len(r.ids) // 4
         at += r.n_tokens
 
 
@@ -122,14 +129,12 @@ def check_pieces(pieces, lengths, capacity=1024):
 
 def test_packing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").coalesce(1)
-    enc = WordTokenizer(BYTE, True)
-    ids = {r.doc_id: enc.encode([r.text])[0] + b"\0\0" for r in docs.collect()}
+    ids = {r.doc_id: [*PLAIN[BYTE].encode(r.text, add_special_tokens=False).ids, 0] for r in docs.collect()}
     pieces = packing.pack(docs, BYTE, 0).collect()
-    by_seq = check_pieces(pieces, {d: len(x) // 2 for d, x in ids.items()})
+    by_seq = check_pieces(pieces, {d: len(x) for d, x in ids.items()})
     for p in pieces:
-        want = ids[p.doc_id][2 * p.start : 2 * (p.start + p.length)]
-        assert bytes(p.ids) == want and packing.piece_checksum(bytes(p.ids)) == zlib.crc32(np.frombuffer(want, "<u2").astype("<u4"))
-    used = sum(len(x) // 2 for x in ids.values())
+        assert np.frombuffer(p.ids, "<u4").tolist() == ids[p.doc_id][p.start : p.start + p.length]
+    used = sum(map(len, ids.values()))
     assert len(by_seq) * 1024 <= used * 1.02  # little padding
 
 
@@ -157,3 +162,29 @@ def test_differencing_is_near_equal():
     sizes = rng.integers(1, 257, 600).tolist()
     sums = np.bincount(packing.differencing(sizes, 75), sizes, 75)
     assert sums.max() - sums.min() <= 16
+
+
+SPECIAL = ["<|endoftext|> hi", "plain words, and <|startoftext|> inside", None, "", "same text", "same text", "many " * 3000, "a\u00a0b\tc"]
+
+
+def crc(ids):
+    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+
+
+def test_queries_equal_the_plain_library(spark, tmp_path):
+    """op9 and op10 as registered, over texts that hold special strings, against the library as it comes."""
+    rows = [(100 - k, x) for k, x in enumerate(SPECIAL)] + [(200, "same text"), (200, "same text")]
+    spark.createDataFrame([(i, x, "en") for i, x in rows], "doc_id long, text string, ids string").write.parquet(f"{tmp_path}/documents.parquet")
+    start, want = 0, []
+    for i, x in sorted(rows, key=lambda r: r[0]):
+        ids = [*PLAIN[WORD].encode(x or "", add_special_tokens=False).ids, 1]
+        want.append((i, start, len(ids), crc(ids)))
+        start += len(ids)
+    got = queries.op9_token_files(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    ids = {i: [*PLAIN[BYTE].encode(x or "", add_special_tokens=False).ids, 0] for i, x in rows}
+    pieces = queries.op10_packing(spark, str(tmp_path)).collect()
+    check_pieces(pieces, {i: len(x) for i, x in ids.items() if i != 200})
+    assert all(p.ids_crc32 == crc(ids[p.doc_id][p.start : p.start + p.length]) for p in pieces)
+    assert sorted((p.start, p.length) for p in pieces if p.doc_id == 200) == [(0, len(ids[200]))] * 2
+    assert ids[100][0] == 50256 and len({p.doc_id for p in pieces}) == len(ids)
