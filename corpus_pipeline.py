@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandlog.llm import decontaminate, language, near_dup, packing, token_files, toxicity
+from strandlog.llm import decontaminate, language, near_dup, packing, toxicity
 from strandlog.llm.common import BROADCAST_ROWS, Scratch, by_row, read_table, row_key, without_rows
 
 #: A document is rejected if its language can't be told, or is told with less than this score.
@@ -61,8 +61,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, by window."""
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    return token_files.id_checksums(pieces)
+    return packing.with_checksums(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
 
 
 STAGES = [
