@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,28 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         start, base = stop, int(ends[stop - 1])
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives freed memory back to the system at its end: Spark keeps its Python workers for later stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``docs`` has no column of."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string array, and the offset of each text in them; a null is an empty text."""
     text = pc.fill_null(text.cast(pa.large_string()), "")

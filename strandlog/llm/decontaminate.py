@@ -2,14 +2,16 @@
 
 A text becomes tokens: numbers, units behind numbers, and names (a capitalised word inside a sentence) are replaced by
 typed placeholders, everything else is lower-cased words. Each window of WINDOW tokens of each text is hashed and joined with the windows of
-all benchmark items (an item with fewer tokens is one window of all of them, joined by its own length). An item is leaked into a document if SHARE of its distinct windows stand there and
+all benchmark items. A text with fewer tokens is one window of all of them, so a short item ("Yes", "5 apples") is found
+where it is a document's whole text, not in every document that uses its words. An item is leaked into a document if SHARE of its distinct windows stand there and
 its slots are consistent: over the matched windows at one place of the document (that with most slots), each value at the
 item's placeholders corresponds to one value of the document and the reverse, for SLOTS of the values at least, so the same question with other numbers is found, but not
 texts that share only a shape.
 
 The benchmark side is broadcast if it has at most BROADCAST_ROWS windows (counted); beyond that Spark shuffles both sides by hash.
 
-Defined results: null and empty texts have no tokens and leak nothing; rows with equal doc_id are one document; items with
+Defined results: null and empty texts have no tokens and leak nothing; items of placeholders alone ("42") are no items;
+ties between places with equally many slots go to the one with more consistent slots; rows with equal doc_id are one document; items with
 equal ids are one item, of all their windows; null ids are ids like any other; other columns are ignored.
 """
 
@@ -47,26 +49,26 @@ def template(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.startswith("\x01"), F.substring(t, 1, 2)).otherwise(t))
 
 
-def _windows(tokens: Column, width: Column) -> Column:
-    """Hashes of all windows of ``width`` tokens, in order; null if there are fewer."""
-    return F.when(F.size(tokens) >= width, F.transform(F.sequence(F.lit(1), F.size(tokens) - width + 1), lambda i: F.xxhash64(F.slice(tokens, i, width))))
+def _windows(tokens: Column, window: int) -> Column:
+    """Hashes of all windows of ``window`` tokens, in order; of fewer tokens all are one window."""
+    several = F.transform(F.sequence(F.lit(1), F.size(tokens) - window + 1), lambda i: F.xxhash64(F.slice(tokens, i, window)))
+    return F.when(F.size(tokens) >= window, several).otherwise(F.array(F.xxhash64(tokens)))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, width, h, place, n_windows, slots): every item's windows, how many distinct ones it has, their marked tokens."""
-    items = benchmark.where("text is not null").select("item_id", marked(F.col("text")).alias("tokens")).where(F.array_max("tokens") != "")
-    items = items.withColumn("width", F.least(F.size("tokens"), F.lit(window)))
-    rows = items.select("item_id", "tokens", "width", F.posexplode(_windows(template(F.col("tokens")), F.col("width"))).alias("place", "h"))
-    rows = rows.select("item_id", "width", "h", "place", F.slice("tokens", F.col("place") + 1, F.col("width")).alias("slots")).distinct()
+    """(item_id, h, place, n_windows, slots): every item's windows, how many distinct ones it has, their marked tokens."""
+    items = benchmark.where("text is not null").select("item_id", marked(F.col("text")).alias("tokens"))
+    items = items.where(F.exists("tokens", lambda t: (t != "") & ~t.startswith("\x01")))
+    rows = items.select("item_id", "tokens", F.posexplode(_windows(template(F.col("tokens")), window)).alias("place", "h"))
+    rows = rows.select("item_id", "h", "place", F.slice("tokens", F.col("place") + 1, window).alias("slots")).distinct()
     sizes = rows.groupBy("item_id").agg(F.count_distinct("h").alias("n_windows"))
     return rows.alias("r").join(sizes.alias("s"), F.col("r.item_id").eqNullSafe(F.col("s.item_id"))).select("r.*", "n_windows")
 
 
-def _doc_windows(docs: DataFrame, widths: list[int]) -> DataFrame:
-    """(doc_id, tokens, width, hashes) of every document."""
+def _doc_windows(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, tokens, hashes) of every document."""
     tokens = docs.where("text is not null").select("doc_id", marked(F.col("text")).alias("tokens"))
-    plain = tokens.withColumn("plain", template(F.col("tokens")))
-    return plain.select("doc_id", "tokens", F.explode(F.array(*[F.struct(F.lit(w).alias("width"), _windows(F.col("plain"), F.lit(w)).alias("hashes")) for w in widths])).alias("x")).select("doc_id", "tokens", "x.width", "x.hashes")
+    return tokens.select("doc_id", "tokens", _windows(template(F.col("tokens")), window).alias("hashes"))
 
 
 def _same(x: str, y: str, *names: str) -> Column:
@@ -80,20 +82,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     """(doc_id, item_id, matched, n_windows, n_slots, n_consistent): the items that leaked into documents."""
     scratch = Scratch(docs.sparkSession)
     items = scratch.cut(item_windows(benchmark, window), "benchmark-windows")
-    widths = sorted(r[0] for r in items.select("width").distinct().collect()) or [window]  # ``window`` numbers at most
-    side = items.select("item_id", "width", "h", "n_windows").distinct()
+    side = items.select("item_id", "h", "n_windows").distinct()
     side = F.broadcast(side) if items.count() <= BROADCAST_ROWS else side
-    rows = _doc_windows(docs, widths).select("doc_id", "width", F.explode("hashes").alias("h"))
-    found = rows.join(side, ["h", "width"]).groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("h").alias("matched"))
+    rows = _doc_windows(docs, window).select("doc_id", F.explode("hashes").alias("h"))
+    found = rows.join(side, "h").groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("h").alias("matched"))
     likely = scratch.cut(found.where(F.col("matched") >= F.col("n_windows") * share), "likely-leaks")
 
     # slots: only documents that hold most of an item that has placeholders are looked at again
     with_slots = items.where(F.exists("slots", lambda t: t.startswith("\x01")))
-    pairs = likely.select("doc_id", "item_id").alias("l").join(with_slots.alias("w"), _same("l", "w", "item_id")).select("doc_id", "l.item_id", "width", "h", "place", "slots")
+    pairs = likely.select("doc_id", "item_id").alias("l").join(with_slots.alias("w"), _same("l", "w", "item_id")).select("doc_id", "l.item_id", "h", "place", "slots")
     pairs = scratch.cut(pairs, "slot-windows")
     wanted = pairs.select("doc_id").distinct()
-    again = _doc_windows(docs.alias("d").join(wanted.alias("q"), _same("d", "q", "doc_id"), "left_semi"), widths).select("doc_id", "tokens", "width", F.posexplode("hashes").alias("at", "h"))
-    both = again.alias("a").join(pairs.alias("p"), _same("a", "p", "doc_id", "width", "h")).select("a.doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift"), F.zip_with("slots", F.slice("tokens", F.col("at") + 1, F.col("a.width")), lambda i, d: F.struct(i.alias("i"), d.alias("d"))).alias("pairs"))
+    again = _doc_windows(docs.alias("d").join(wanted.alias("q"), _same("d", "q", "doc_id"), "left_semi"), window).select("doc_id", "tokens", F.posexplode("hashes").alias("at", "h"))
+    both = again.alias("a").join(pairs.alias("p"), _same("a", "p", "doc_id", "h")).select("a.doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift"), F.zip_with("slots", F.slice("tokens", F.col("at") + 1, F.size("slots")), lambda i, d: F.struct(i.alias("i"), d.alias("d"))).alias("pairs"))
     values = both.select("doc_id", "item_id", "shift", F.explode(F.filter("pairs", lambda p: p["i"].startswith("\x01"))).alias("p")).select("doc_id", "item_id", "shift", "p.i", "p.d").distinct()
     values = scratch.cut(values, "slot-values")
     of_item = values.groupBy("doc_id", "item_id", "shift", "i").agg(F.count("*").alias("n"))
@@ -129,13 +130,13 @@ def oracle(window: int = WINDOW, share: float = SHARE, slots: float = SLOTS) ->
     plain = "list_transform(tokens, lambda t: CASE WHEN starts_with(t, chr(1)) THEN t[1:2] ELSE t END)"
     return f"""
     WITH bt AS (SELECT item_id, {tokens} AS tokens FROM benchmark WHERE text IS NOT NULL),
-    bp AS (SELECT item_id, tokens, {plain} AS plain, least(len(tokens), {window}) AS w FROM bt WHERE len(tokens) > 0),
+    bp AS (SELECT item_id, tokens, {plain} AS plain, least(len(tokens), {window}) AS w FROM bt WHERE len(list_filter(tokens, lambda t: NOT starts_with(t, chr(1)))) > 0),
     bi AS (SELECT item_id, tokens, plain, w, unnest(range(1, len(plain) - w + 2)) AS i FROM bp),
     bw AS (SELECT DISTINCT item_id, w, i AS place, array_to_string(plain[i:i + w - 1], ' ') AS h, tokens[i:i + w - 1] AS slots FROM bi),
     sizes AS (SELECT item_id, count(DISTINCT h) AS n_windows FROM bw GROUP BY item_id),
     dt AS (SELECT doc_id, {tokens} AS tokens FROM documents WHERE text IS NOT NULL),
-    dp AS (SELECT doc_id, tokens, {plain} AS plain FROM dt),
-    di AS (SELECT doc_id, tokens, plain, w, unnest(range(1, len(plain) - w + 2)) AS i FROM dp, (SELECT DISTINCT w FROM bw)),
+    dp AS (SELECT doc_id, tokens, {plain} AS plain, least(len(tokens), {window}) AS w FROM dt WHERE len(tokens) > 0),
+    di AS (SELECT doc_id, tokens, plain, w, unnest(range(1, len(plain) - w + 2)) AS i FROM dp),
     dw AS (SELECT doc_id, w, i AS pos, array_to_string(plain[i:i + w - 1], ' ') AS h, tokens[i:i + w - 1] AS found FROM di),
     hits AS (SELECT doc_id, item_id, dw.w, pos - place AS shift, slots, found, h FROM dw JOIN bw USING (w, h)),
     likely AS (SELECT doc_id, item_id, n_windows, count(DISTINCT h) AS matched FROM hits JOIN sizes USING (item_id) GROUP BY ALL HAVING count(DISTINCT h) >= n_windows * {share}),

@@ -35,13 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from strandlog.llm import shingles as sh
-from strandlog.llm.common import BROADCAST_ROWS, Scratch, slices, text_bytes
+from strandlog.llm.common import BROADCAST_ROWS, Scratch, lean, slices, text_bytes
 
 MIN_TOKENS, MIN_PAGES = 8, 3
 #: A block is covered if this share of its tokens is.
 COVERED = 0.8
 #: Tokens of a host that one suffix array takes, about.
-BLOCK_TOKENS = 50_000
+BLOCK_TOKENS = 20_000
+#: Pages with covered blocks (about 250 bytes each) up to which these are broadcast to the pages; beyond, both are shuffled.
+COVERED_ROWS = 100_000
 #: Parts in which a host's pages meet the host's totals, if there are too many large hosts to broadcast.
 SALTS = 16
 
@@ -225,7 +227,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 found = zip(*map(row_of, part.column("text").to_pylist(), part.column("host").to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(c, f.type) for c, f in zip(found, list(schema)[3:], strict=True))], schema=schema)
 
-    return keyed.mapInArrow(run, PARSED)
+    return keyed.mapInArrow(lean(run), PARSED)
 
 
 def suffix_ranks(tokens: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
@@ -340,7 +342,7 @@ def extract(pages: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     scratch = Scratch(pages.sparkSession)
     parsed = scratch.cut(parse_pages(pages), "parsed-pages")
     covered = scratch.cut(covered_blocks(parsed, scratch, block_tokens), "covered-blocks")
-    side = F.broadcast(covered) if covered.count() <= BROADCAST_ROWS else covered
+    side = F.broadcast(covered) if covered.count() <= COVERED_ROWS else covered
     rows = parsed.select("page_id", "url", "host", "sid", "texts", "kinds", "places", "main", "n_blocks").join(side, ["host", "sid"], "left")
     none = F.array().cast("array<int>")
     rows = rows.withColumn("covered", F.coalesce("covered", none))

@@ -4,8 +4,12 @@ Features are hashed byte n-grams (2 to 4 bytes of the lower-cased text, anything
 frequencies over the whole text. All classifiers are linear support vector machines, so a text's margins are means of one
 looked-up weight row per n-gram; nothing is cut off and memory does not grow with a text's features.
 
-The machines are fitted on the driver from a sample of labelled rows whose size is a parameter (``per_language`` rows for
-each language, dealt by a hash of the row); prediction runs in tasks over all rows.
+The machines are fitted on the driver from a sample of labelled rows whose size is a parameter (``per_language`` distinct
+texts of SAMPLE_BYTES at most for each language, dealt by a hash of the text); prediction runs in tasks over all rows.
+
+Defined results: a null text or one without letters is ``und`` with score 0; equal texts get equal results; of languages
+with equal votes the first by name wins; texts labelled with several languages teach each of them once; without labelled
+rows every text is ``und``; an empty table gives an empty result; texts of any length are looked at whole.
 """
 
 from __future__ import annotations
@@ -17,9 +21,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from strandlog.llm.common import fold, slices, text_bytes
+from strandlog.llm.common import fold, lean, slices, text_bytes
 
 # Families of languages by ISO 639-1 code; a code that isn't listed is a family of its own.
 FAMILIES = {
@@ -32,8 +36,8 @@ FAMILIES = {
     "semitic": "ar he mt",
 }
 
-#: Labelled rows of each language that the machines are fitted on, about.
-PER_LANGUAGE = 400
+#: Labelled texts of each language that the machines are fitted on, about; longer texts (in UTF-8 bytes) are not among them.
+PER_LANGUAGE, SAMPLE_BYTES = 400, 1 << 16
 #: Texts of the sample that are looked at together, to bound the driver's memory.
 AT_ONCE = 256
 #: Hash buckets of the n-grams.
@@ -194,36 +198,40 @@ def fit(texts: pa.Array, langs: list[str]) -> Model:
 
 
 def training_sample(docs: DataFrame, lang: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
-    """About ``per_language`` rows (text, lang) of each language, chosen by a hash of the text among non-null ones."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # a line for each language
-    u = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """About ``per_language`` distinct texts (text, lang, h) of each language, chosen by a hash of the text."""
+    rows = docs.where(F.col(lang).isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).select("text", F.col(lang).alias("lang"), F.xxhash64("text", F.lit(11)).alias("h"))
+    counts = {r[0]: r[1] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}  # a line for each language
+    u = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
     keep = F.lit(False)
     for value, n in sorted(counts.items()):
-        keep = keep | ((F.col(lang) == value) & (u < min(1.0, per_language / n)))
-    return rows.where(keep).select("text", F.col(lang).alias("lang"))
+        keep = keep | ((F.col("lang") == value) & (u < min(1.0, per_language / n)))
+    return rows.where(keep).dropDuplicates(["lang", "h"])
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on a bounded sample of the labelled rows of ``docs`` (text, lang)."""
-    sample = training_sample(docs, per_language=per_language).orderBy(F.xxhash64("text"), "lang").toArrow()
+    sample = training_sample(docs, per_language=per_language).orderBy("h", "lang").toArrow()
     texts = sample.column("text").combine_chunks()
     return fit(texts, sample.column("lang").to_pylist())
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and lang_score appended; only its column ``text`` is looked at."""
+def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the predicted language and its score appended under ``names``; only its column ``text`` is looked at.
+
+    Columns of ``docs`` that have these names already are replaced.
+    """
+    docs = docs.drop(*names)
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets by machines
     out = docs.schema.fieldNames()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 18):
                 langs, scores = held.value.predict(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*out, "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*out, *names])
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, lang_score double")
+    return docs.mapInArrow(lean(run), schema)
 
 
 def language_digest(docs: DataFrame) -> DataFrame:

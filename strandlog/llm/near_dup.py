@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from strandlog.llm import shingles as sh
-from strandlog.llm.common import BROADCAST_ROWS, Scratch, slices, text_bytes
+from strandlog.llm.common import BROADCAST_ROWS, Scratch, lean, slices, text_bytes
 from strandlog.llm.components import connected_components
 
 SKETCH, ROWS = 128, 4
@@ -36,6 +36,8 @@ SKETCH, ROWS = 128, 4
 SKETCH_LEAST = 76
 #: Members outside a bucket's largest component, and members of the bucket, that are compared at once, about.
 OUTSIDE, INSIDE = 64, 256
+#: Blocks of a bucket's members that meet in one task; a large bucket is spread over more tasks.
+TOGETHER = 8
 #: Members of a bucket up to which its alike pairs leave the task to be verified; in larger ones they are verified there.
 FEW = 16
 
@@ -48,7 +50,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 18):
                 sets, bounds = sh.shingle_sets(*text_bytes(part.column("text")), width)
                 counts = np.diff(bounds)
                 h1, h2 = sh.fingerprints(sets, bounds)
@@ -59,7 +61,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 low = (sketch & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(h1), pa.array(h2), lists, pa.array([x.tobytes() for x in low], pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), _SIGNATURE)
 
 
 def _alike(pairs: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def _alike(pairs: DataFrame) -> DataFrame:
             same = (x == y).sum(axis=1) >= SKETCH_LEAST
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(same)) for k in (0, 1)], schema=schema)
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(lean(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -99,7 +101,7 @@ def verified(pairs: DataFrame, width: int, percent: int) -> DataFrame:
                 keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], schema=schema)
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long")
 
 
 class _Linker:
@@ -155,12 +157,17 @@ def _compared(rows: DataFrame, width: int = 0, percent: int = 0) -> DataFrame:
     has found linked, no more pairs are verified there: what counts is that they are one.
     """
 
-    def blocks(df: DataFrame, size: int, total: str, name: str) -> DataFrame:
-        number = F.pmod(F.xxhash64("id"), F.ceil(F.expr(total) / size))
-        held = df.groupBy("key", number.alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "component", "bands", "sketch", "text")).alias("m"))
-        return held.select("key", *[F.col(f"m.{c}").alias(f"{name}_{c}") for c in ("id", "component", "sketch", "text")], F.flatten("m.bands").alias(f"{name}_bands"))
+    inside = F.ceil(F.col("n") / INSIDE)
 
-    both = blocks(rows.where("component <> largest"), OUTSIDE, "n - most", "x").join(blocks(rows, INSIDE, "n", "y"), "key")
+    def blocks(df: DataFrame, number: Column, name: str) -> DataFrame:
+        held = df.groupBy("key", number.alias("block"), "n").agg(F.collect_list(F.struct("id", "component", "bands", "sketch", "text")).alias("m"))
+        return held.select("key", "block", "n", *[F.col(f"m.{c}").alias(f"{name}_{c}") for c in ("id", "component", "sketch", "text")], F.flatten("m.bands").alias(f"{name}_bands"))
+
+    parts = F.ceil(inside / TOGETHER)
+    outer = blocks(rows.where("component <> largest"), F.pmod(F.xxhash64("id"), F.ceil(F.expr("n - most") / OUTSIDE)), "x")
+    outer = outer.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("block", "n")
+    inner = blocks(rows, F.pmod(F.xxhash64("id"), inside), "y").withColumn("part", F.pmod("block", parts)).drop("block", "n")
+    both = outer.join(inner, ["key", "part"])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +199,7 @@ def _compared(rows: DataFrame, width: int = 0, percent: int = 0) -> DataFrame:
                 ids = np.stack([number("x_id")[x], number("y_id")[y]])
                 yield pa.RecordBatch.from_arrays([pa.array(ids.min(axis=0)), pa.array(ids.max(axis=0))], schema=schema)
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

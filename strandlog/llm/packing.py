@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from strandlog.llm.common import slices
+from strandlog.llm.common import lean, slices
 from strandlog.llm.tokens import tokenizer
 
 CAPACITY = 1024
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, spaced: bool = True, cap
         if out:
             yield batch_of(out)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), PIECES)
 
 
 

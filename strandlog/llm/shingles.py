@@ -1,7 +1,7 @@
 """Word shingles of whole texts as sorted 64-bit hashes, for many texts at once in numpy.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D, after lower-casing A-Z. A word's hash is a polynomial in its bytes
-modulo 2^64, taken from running sums, then mixed; a shingle's hash mixes the hashes of its words by their place.
+modulo 2^64, then mixed; a shingle's hash mixes the hashes of its words by their place.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of text that are hashed at once, about.
+AT_ONCE = 1 << 22
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,23 +30,47 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
 _PLACE = mix(np.arange(1, 65, dtype=np.uint64) * _U(0xA24BAED4963EE407)) | _U(1)
-_powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        tables = []
-        for base in (_BASE, _BASE_INVERSE):
-            t = np.full(size, base, np.uint64)
-            t[0] = 1
-            tables.append(np.cumprod(t, dtype=np.uint64))
-        _powers[:] = tables
-    return _powers[0], _powers[1]
+def _power_table(n: int) -> np.ndarray:
+    t = np.full(n, _BASE, np.uint64)
+    t[0] = 1
+    return np.cumprod(t, dtype=np.uint64)
+
+
+#: Powers of the base for words of usual length.
+_POWERS = _power_table(1 << 12)
+
+
+def word_sums(raw: np.ndarray, word: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Running sums of the bytes' values times powers of their place in the word: differences are hashes of word beginnings."""
+    at = np.arange(len(raw))
+    place = np.where(word, at - np.maximum.accumulate(np.where(begins, at, 0)), 0)
+    longest = int(place.max(initial=0)) + 1
+    power = _POWERS if longest <= len(_POWERS) else _power_table(longest)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * power[place], out=sums[1:])
+    return sums
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of every text, in order, and the number of words of each text."""
+    if len(raw) <= AT_ONCE:
+        return _word_hashes(raw, offsets)
+    parts, counts, lo = [], np.zeros(len(offsets) - 1, np.int64), 0
+    while lo < len(raw):  # stretches that end between two words
+        hi = lo + AT_ONCE
+        while hi < len(raw) and not len(gap := np.flatnonzero(_SEPARATOR[raw[hi : hi + AT_ONCE]])):
+            hi += AT_ONCE
+        hi = min(len(raw), hi + int(gap[0])) if hi < len(raw) else len(raw)
+        part, n = _word_hashes(raw[lo:hi], np.clip(offsets, lo, hi) - lo)
+        parts.append(part)
+        counts += n
+        lo = hi
+    return np.concatenate(parts), counts
+
+
+def _word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw)
     n_texts = len(offsets) - 1
     if not n:
@@ -58,10 +83,8 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     ends = word.copy()
     ends[:-1] &= ~word[1:] | begins[1:]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[raw]] * power[:n], out=sums[1:])
-    hashes = mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+    sums = word_sums(_LOWER[raw], word, begins)
+    hashes = mix(sums[stops] - sums[starts] + (stops - starts).astype(np.uint64))
     return hashes, np.diff(np.searchsorted(starts, offsets))
 
 

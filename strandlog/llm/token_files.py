@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from strandlog.llm.common import slices
+from strandlog.llm.common import lean, slices
 from strandlog.llm.tokens import tokenizer
 from strandlog.scratch import scratch_path
 
@@ -171,7 +171,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
         scheme = path.split(":", 1)[0] + "://" if ":" in path else ""
         yield pa.RecordBatch.from_pylist([{"shard": shard, "path": scheme + name, "n_docs": rows.n_docs, "n_ids": rows.n_ids}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    manifest = dealt.select("doc_id", "text").mapInArrow(write, MANIFEST).collect()  # a line for each shard
+    manifest = dealt.select("doc_id", "text").mapInArrow(lean(write), MANIFEST).collect()  # a line for each shard
     return spark.createDataFrame(sorted(manifest, key=lambda r: r.shard), MANIFEST)
 
 
@@ -195,7 +195,7 @@ def read_token_files(manifest: DataFrame, frames_at_once: int = 1) -> DataFrame:
                         ids = [np.frombuffer(r[2], f"<u{reader.width}").astype("<u4").tobytes() for r in rows]
                         yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([int(starts[r[0]]) for r in rows], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
-    return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_file_digest(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -1,14 +1,20 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted lists, distance-weighted votes.
 
-Terms are lower-cased words and word beginnings (4 to 6 letters, for inflected and compounded languages). Those whose
-presence depends on the label (chi-square over a bounded, documented sample of labelled rows) are the vocabulary.
-Every text of the corpus is reduced to counts of vocabulary terms once; document frequencies come from all rows.
-
-The labelled examples are kept as inverted lists cut into blocks of 64 examples; for each term and block the largest
-weight is known. A text's examples are found block by block in the order of the blocks' upper bounds, until no bound
-exceeds the k-th best cosine: the result is the exact top k. The score is the share of toxic examples among them, each
-weighted by its cosine and by how many labelled rows it stands for; a logistic curve fitted on left-one-out scores of
-the examples turns it into a probability. Texts without vocabulary terms get the rate among examples without such terms.
+Terms are lower-cased words and word beginnings (4 to 6 letters, for inflected and compounded languages). The vocabulary is
+every term of the labelled examples, which are a bounded, documented sample of the labelled rows; document frequencies come
+from all rows of the corpus. A term's weight is (1 + log tf) * idf, and more for terms that label 1 makes likelier, by
+their log-odds in the sample; no term is dropped.
+
+The examples are kept as inverted lists cut into blocks of BLOCK examples; for each term and block that it occurs in, the
+largest weight is known. A text's examples are found block by block in the order of the blocks' upper bounds, until no
+bound exceeds the k-th best cosine: the result is the exact top k. The score is the share of toxic examples among them, each
+weighted by its squared cosine and by how many labelled rows it stands for, and drawn to the rate of label 1 as far as they
+are distant; a logistic curve fitted on left-one-out scores of the examples turns it into a probability.
+
+Defined results: a null text is empty; texts without terms of the vocabulary get the rate of label 1; equal texts get equal
+scores; of examples with equal cosines the first in the index (by hash) counts; labelled rows that repeat a text are one
+example for each label; without labels of both kinds every score is the rate of label 1; a doc_id labelled twice has its
+larger label; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,16 +28,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from strandlog.llm import shingles as sh
-from strandlog.llm.common import Scratch, fold, row_key, slices, text_bytes
+from strandlog.llm.common import Scratch, fold, lean, row_key, slices, text_bytes
 
-#: Labelled examples of each label, about; the sample is dealt by a hash of the row.
+#: Labelled examples of each label, about; the sample is dealt by a hash of the text.
 EXAMPLES = 1500
-#: Most terms of the vocabulary, and the least chi-square of a term.
-TERMS, CHI_SQUARE = 2048, 24.0
+#: Longer texts (in UTF-8 bytes) are no examples, which bounds the sample's memory.
+EXAMPLE_BYTES = 1 << 16
 BEGINNINGS = (4, 5, 6)
 BLOCK, NEIGHBOURS = 64, 9
+#: A term whose frequencies under the two labels differ by this many standard errors weighs GAIN times its log-odds more.
+ERRORS, GAIN = 4.0, 3.0
 #: Squared cosines (summed over the neighbours) at which their votes count half.
-DOUBT = 0.3
+DOUBT = 0.5
+#: Texts of the sample that are looked at together, to bound the driver's memory.
+AT_ONCE = 128
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
@@ -52,19 +62,17 @@ def terms_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = word.copy()
     ends[:-1] &= ~word[1:] | begins[1:]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = sh._power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(sh._BYTE[raw] * power[:n], out=sums[1:])
+    sums = sh.word_sums(raw, word, begins)
     # where the k-th letter of a word ends: continuation bytes belong to the letter before them
     lead = np.concatenate([np.cumsum((raw & 0xC0) != 0x80), [np.iinfo(np.int64).max]])
-    columns, keep = [sh.mix((sums[stops] - sums[starts]) * inverse[starts])], [np.ones(len(starts), bool)]
+    columns, keep = [sh.mix(sums[stops] - sums[starts])], [np.ones(len(starts), bool)]
     letter_at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), n)
     first = lead[starts] - 1  # index of the word's first letter
     for k in BEGINNINGS:
         stop = letter_at[np.minimum(first + k, len(letter_at) - 1)]
         inside = stop <= stops
         stop = np.where(inside, stop, stops)
-        columns.append(sh.mix((sums[stop] - sums[starts]) * inverse[starts] + np.uint64(k)))
+        columns.append(sh.mix(sums[stop] - sums[starts] + np.uint64(k)))
         keep.append(inside)
     flat, valid = np.stack(columns, axis=1).ravel(), np.stack(keep, axis=1).ravel()
     bounds = np.searchsorted(starts, offsets) * len(columns)
@@ -72,94 +80,114 @@ def terms_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[valid], kept[bounds]
 
 
-def unlike(text: pa.Array) -> np.ndarray:
-    """Marks one text of each group of copies and near copies (that share one of two sketch coordinates of 3-word shingles).
+def bags(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term hash, count) of all distinct terms of each text, by text and hash; arrays of equal length."""
+    terms, bounds = terms_of(text)
+    which = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((terms, which))
+    which, terms = which[order], terms[order]
+    new = np.ones(len(terms), bool)
+    new[1:] = (terms[1:] != terms[:-1]) | (which[1:] != which[:-1])
+    at = np.flatnonzero(new)
+    return which[at], terms[at], np.diff(np.append(at, len(terms)))
+
+
+def unlike(text: pa.Array, toxic: np.ndarray) -> np.ndarray:
+    """Marks one text of each group of near copies under the same label (four fifths of their 3-word shingles in common).
 
     A term counts for as many examples as were written, not for as many copies as were made of one.
     """
-    seen: set[tuple[int, int]] = set()
+    kept: dict[tuple[int, bool], list[np.ndarray]] = {}
     out = np.ones(len(text), bool)
     for lo in range(0, len(text), AT_ONCE):
         sets, bounds = sh.shingle_sets(*text_bytes(text.slice(lo, AT_ONCE)), 3)
-        sketch = sh.similarity_sketches(sets, bounds, 2)
-        for t, row in enumerate(sketch.tolist(), lo):
-            if bounds[t - lo] < bounds[t - lo + 1]:
-                keys = set(enumerate(row))
-                out[t] = not keys & seen
-                seen |= keys
+        keys = sh.band_keys(sh.similarity_sketches(sets, bounds, 64), 4)
+        for t in range(len(bounds) - 1):
+            own = sets[bounds[t] : bounds[t + 1]].copy()
+            if not len(own):
+                continue
+            places = [(k, bool(toxic[lo + t])) for k in keys[t].tolist()]
+            for other in {id(x): x for p in places for x in kept.get(p, ())}.values():
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if 5 * both >= 4 * (len(own) + len(other) - both):
+                    out[lo + t] = False
+                    break
+            else:
+                for p in places:
+                    kept.setdefault(p, []).append(own)
     return out
 
 
-#: Texts of the sample that are looked at together, to bound the driver's memory.
-AT_ONCE = 128
+class Vocabulary:
+    """Sorted term hashes, and how to find terms among them."""
 
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(terms >> np.uint64(44)).astype(np.int64)] = True
+
+    def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``terms`` are known, and their numbers."""
+        hit = np.flatnonzero(self.maybe[(terms >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.terms, terms[hit]), max(0, len(self.terms) - 1))
+        good = self.terms[at] == terms[hit] if len(self.terms) else np.zeros(0, bool)
+        return hit[good], at[good]
 
-def vocabulary(text: pa.Array, toxic: np.ndarray) -> np.ndarray:
-    """Hashes (sorted) of the terms that depend most on the label, by chi-square over the sample's texts."""
-    values, in1, in0 = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-    for lo in range(0, len(text), AT_ONCE):
-        terms, bounds = terms_of(text.slice(lo, AT_ONCE))
-        per_text = [np.unique(terms[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        label = np.repeat(toxic[lo : lo + AT_ONCE], [len(x) for x in per_text])
-        every = np.concatenate([values, *per_text])
-        values, where = np.unique(every, return_inverse=True)
-        in1 = np.bincount(where, np.concatenate([in1, label]), len(values))
-        in0 = np.bincount(where, np.concatenate([in0, ~label]), len(values))
-    n1, n0 = toxic.sum(), (~toxic).sum()
-    a, b, c, e = in1, in0, n1 - in1, n0 - in0
-    chi = (n1 + n0) * (a * e - b * c) ** 2 / np.maximum(1e-9, (a + b) * (c + e) * (a + c) * (b + e))
-    good = np.flatnonzero((chi >= CHI_SQUARE) & (in1 / max(1, n1) >= 3 * in0 / max(1, n0)))  # terms of the label to be found
-    best = good[np.argsort(-chi[good], kind="stable")[:TERMS]]
-    return np.sort(values[best])
-
-
-def counts_in(text: pa.Array, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, count) of vocabulary terms, by text and term; arrays of equal length."""
-    terms, bounds = terms_of(text)
-    if not len(vocab) or not len(terms):
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    small = np.zeros(1 << 16, bool)
-    small[(vocab >> np.uint64(48)).astype(np.int64)] = True
-    maybe = np.flatnonzero(small[(terms >> np.uint64(48)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(vocab, terms[maybe]), len(vocab) - 1)
-    hit = vocab[at] == terms[maybe]
-    texts = np.searchsorted(bounds, maybe[hit], "right") - 1
-    key, count = np.unique(texts * len(vocab) + at[hit], return_counts=True)
-    return key // len(vocab), key % len(vocab), count
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 @dataclass
 class Index:
-    """The labelled examples' inverted lists: by term, the examples of each block; and the votes' calibration."""
+    """The labelled examples' inverted lists, cut into blocks of examples, and the votes' calibration.
 
-    vocab: np.ndarray
-    idf: np.ndarray
-    lists: np.ndarray  # (terms, examples): a term's list of weights, zero where the example lacks it
-    block_max: np.ndarray  # (terms, blocks)
+    List t has the entries first[t] to first[t + 1], one for each block that the term occurs in; entry e has the postings
+    posting[e] to posting[e + 1].
+    """
+
+    vocabulary: Vocabulary
+    weight: np.ndarray  # of each term
+    first: np.ndarray
+    block: np.ndarray  # of each entry
+    most: np.ndarray  # each entry's largest weight
+    posting: np.ndarray
+    example: np.ndarray  # of each posting
+    value: np.ndarray
     toxic: np.ndarray
     stands_for: np.ndarray
     doc_ids: np.ndarray
     curve: tuple[float, float]
-    silent: float  # score of a text without vocabulary terms
+    silent: float  # score of a text without known terms
 
-    def weights(self, count: np.ndarray, term: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(count)) * self.idf[term]
+    def weights(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(count)) * self.weight[term]
         return w / max(1e-12, float(np.sqrt((w**2).sum())))
 
     def nearest(self, term: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine (ties: first in the index) and their cosines; those of cosine 0 are left out."""
-        bound = w @ self.block_max[term]
+        sizes = self.first[term + 1] - self.first[term]
+        entries = _ranges(self.first[term], sizes)
+        of, block = np.repeat(w, sizes), self.block[entries]
+        bound = np.bincount(block, of * self.most[entries], -(-len(self.toxic) // BLOCK))
         order = np.argsort(-bound, kind="stable")
         ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
-            if bound[b] <= 0 or (len(sims) >= k and bound[b] < sims[k - 1] - 1e-12):
-                break
-            lo = b * BLOCK
-            s = w @ self.lists[term, lo : lo + BLOCK]
-            own = np.arange(lo, lo + len(s))
-            good = (s > 1e-9) & (own != without)
-            ids, sims = np.concatenate([ids, own[good]]), np.concatenate([sims, s[good]])
+        at, step = 0, 3
+        while at < len(order) and bound[order[at]] > 0 and (len(sims) < k or bound[order[at]] >= sims[k - 1] - 1e-9):
+            wanted = np.zeros(len(order), bool)
+            wanted[order[at : at + step]] = True
+            at, step = at + step, 2 * step
+            own = np.flatnonzero(wanted[block])
+            e = entries[own]
+            sizes = self.posting[e + 1] - self.posting[e]
+            postings = _ranges(self.posting[e], sizes)
+            s = np.bincount(self.example[postings], np.repeat(of[own], sizes) * self.value[postings], len(self.toxic))
+            if without >= 0:
+                s[without] = 0
+            good = np.flatnonzero(s > 1e-9)
+            ids, sims = np.concatenate([ids, good]), np.concatenate([sims, s[good]])
             top = np.lexsort((ids, -sims))[:k]
             ids, sims = ids[top], sims[top]
         return ids, sims
@@ -175,31 +203,86 @@ class Index:
         a, b = self.curve
         return float(1 / (1 + np.exp(-np.clip(a * (2 * vote - 1) + b, -30, 30))))
 
+    def scores(self, text: pa.Array, k: int) -> tuple[list[float], list[str]]:
+        """The score and the evidence (doc ids and cosines) of each text."""
+        which, terms, counts = bags(text)
+        hit, term = self.vocabulary.find(terms)
+        at = np.searchsorted(which[hit], np.arange(len(text) + 1))
+        counts = counts[hit]
+        scores, evidence = [], []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            ids, sims = self.nearest(term[a:b], self.weights(term[a:b], counts[a:b]), k) if b > a else ((), ())
+            scores.append(self.calibrated(self.vote(ids, sims)) if len(ids) else self.silent)
+            evidence.append(" ".join(f"{self.doc_ids[i]}:{x:.3f}" for i, x in zip(ids, sims, strict=True)))
+        return scores, evidence
+
+
+@dataclass
+class Examples:
+    """The labelled examples as bags of terms: rows (example, term number, count) by example."""
+
+    vocabulary: Vocabulary
+    example: np.ndarray
+    term: np.ndarray
+    count: np.ndarray
+    toxic: np.ndarray
+    stands_for: np.ndarray
+    doc_ids: np.ndarray
+
+
+def examples_of(text: pa.Array, doc_ids: list, toxic: np.ndarray, stands_for: np.ndarray) -> Examples:
+    found = [(lo, *bags(text.slice(lo, AT_ONCE))) for lo in range(0, len(text), AT_ONCE)]
+    hashes = np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.uint64)
+    terms, term = np.unique(hashes, return_inverse=True)
+    example = np.concatenate([lo + which for lo, which, _, _ in found]) if found else np.zeros(0, np.int64)
+    count = np.concatenate([f[3] for f in found]) if found else np.zeros(0, np.int64)
+    return Examples(Vocabulary(terms), example, term, count, toxic, stands_for, np.array([-1 if x is None else x for x in doc_ids], np.int64))
+
 
-def build_index(text: pa.Array, doc_ids: list, toxic: np.ndarray, stands_for: np.ndarray, vocab: np.ndarray, df: np.ndarray, n_docs: int, k: int = NEIGHBOURS) -> Index:
+def build_index(x: Examples, df: np.ndarray, n_docs: int, k: int = NEIGHBOURS) -> Index:
     """Index the labelled examples; ``df``: in how many of all ``n_docs`` rows each term occurs."""
-    n = len(doc_ids)
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-    lists = np.zeros((len(vocab), n), np.float32)
-    for lo in range(0, n, AT_ONCE):
-        which, term, count = counts_in(text.slice(lo, AT_ONCE), vocab)
-        lists[term, lo + which] = (1 + np.log(count)) * idf[term]
-    norm = np.sqrt((lists.astype(np.float64) ** 2).sum(axis=0))
-    lists /= np.maximum(norm, 1e-12)
-    blocks = np.arange(0, max(n, 1), BLOCK)
-    block_max = np.maximum.reduceat(lists, blocks, axis=1) if n and len(vocab) else np.zeros((len(vocab), len(blocks)), np.float32)
-    silent_rows = norm == 0
-    rate = lambda rows: float((stands_for[rows] * toxic[rows]).sum() + 0.5) / float(stands_for[rows].sum() + 1)
-    index = Index(vocab, idf, lists, block_max, toxic, stands_for, np.array([-1 if x is None else x for x in doc_ids], np.int64), (4.0, 0.0), rate(silent_rows))
-    x, y, w = [], [], []
-    for i in np.flatnonzero(~silent_rows):
-        own = np.flatnonzero(lists[:, i])
-        ids, sims = index.nearest(own, lists[own, i].astype(np.float64), k, without=i)
+    n, n_terms = len(x.toxic), len(x.vocabulary.terms)
+    n1, n0 = float(x.toxic.sum()), float((~x.toxic).sum())
+    in1 = np.bincount(x.term, x.toxic[x.example].astype(float), n_terms)
+    in0 = np.bincount(x.term, None, n_terms) - in1
+    share = (in1 + in0) / max(1, n)
+    errors = (in1 / max(1, n1) - in0 / max(1, n0)) / np.sqrt(np.maximum(1e-12, share * (1 - share) * (1 / max(1, n1) + 1 / max(1, n0))))
+    odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
+    weight = np.log((2 + n_docs) / (1 + df)) * (1 + GAIN * np.where(errors > ERRORS, np.maximum(0, odds), 0))
+    value = (1 + np.log(x.count)) * weight[x.term]
+    value /= np.sqrt(np.maximum(1e-12, np.bincount(x.example, value**2, n)))[x.example]
+
+    # examples of one label whose heaviest terms are the same are neighbours in the index, which makes bounds tight
+    by = np.lexsort((value, x.example))
+    last = np.flatnonzero(np.append(x.example[by][1:] != x.example[by][:-1], True)) if len(by) else by
+    heaviest = np.full(n, -1)
+    heaviest[x.example[by][last]] = x.term[by][last]
+    order = np.lexsort((np.arange(n), heaviest, ~x.toxic))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+
+    example = place[x.example]
+    by = np.lexsort((example, x.term))
+    term, example, value = x.term[by], example[by], value[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)
+    at = np.flatnonzero(new)
+    most = np.maximum.reduceat(value, at) if len(at) else np.zeros(0)
+    rate = float((x.stands_for * x.toxic).sum() + 0.5) / float(x.stands_for.sum() + 1)
+    index = Index(
+        x.vocabulary, weight, np.searchsorted(term[at], np.arange(n_terms + 1)).astype(np.int32), (example[at] // BLOCK).astype(np.int32), np.nextafter(most.astype(np.float32), np.float32(2)),
+        np.append(at, len(by)).astype(np.int32), example.astype(np.int32), value.astype(np.float32), x.toxic[order], x.stands_for[order], x.doc_ids[order], (4.0, 0.0), rate,
+    )
+    votes, labels, w = [], [], []
+    starts = np.searchsorted(x.example, np.arange(n + 1))
+    for i in range(n):
+        own = slice(starts[i], starts[i + 1])
+        ids, sims = index.nearest(x.term[own], index.weights(x.term[own], x.count[own]), k, without=place[i])
         if len(ids):
-            x.append(2 * index.vote(ids, sims) - 1)
-            y.append(float(toxic[i]))
-            w.append(stands_for[i])
-    index.curve = _logistic(np.array(x), np.array(y), np.array(w))
+            votes.append(2 * index.vote(ids, sims) - 1)
+            labels.append(float(x.toxic[i]))
+            w.append(x.stands_for[i])
+    index.curve = _logistic(np.array(votes), np.array(labels), np.array(w))
     return index
 
 
@@ -219,72 +302,71 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(a), float(b)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
-    """About ``examples`` rows of each label (doc_id, text, toxic, stands_for): a sample by hash, not by order."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}  # a line for each label
-    u = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def labelled_sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, examples: int = EXAMPLES) -> DataFrame:
+    """About ``examples`` texts of each label (doc_id, text, toxic, stands_for): a sample by hash among distinct texts."""
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    short = docs.where(F.octet_length("text") <= EXAMPLE_BYTES).select("doc_id", F.xxhash64("text").alias("h"))
+    texts = scratch.cut(short.join(known, "doc_id").groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")), "labelled-texts")
+    counts = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}  # a line for each label
+    u = F.pmod(F.xxhash64("h", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     keep, stands = F.lit(False), F.lit(1.0)
     for value, n in sorted(counts.items()):
         rate = min(1.0, examples / n)
         keep = keep | ((F.col("toxic") == value) & (u < rate))
         stands = F.when(F.col("toxic") == value, F.lit(1 / rate)).otherwise(stands)
-    chosen = F.broadcast(known.where(keep).withColumn("stands_for", stands))  # about twice ``examples`` rows
-    return docs.select("doc_id", "text").join(chosen, "doc_id")
+    chosen = F.broadcast(texts.where(keep).withColumn("stands_for", stands))  # about twice ``examples`` rows
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(chosen, ["doc_id", "h"])
+    return own.dropDuplicates(["doc_id", "h", "toxic"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS) -> DataFrame:
     """doc_id, score, evidence (doc ids of the nearest examples with their cosines) for every row of ``docs``.
 
-    ``labels`` (doc_id, toxic): only these rows are learned from. A null text is empty. Repeated rows get equal scores;
-    an example's own text may be its evidence. Without labels of both kinds every score is the rate of label 1.
+    ``labels`` (doc_id, toxic): only these rows are learned from. An example's own text may be its evidence.
     """
     return row_scores(docs, labels, examples, k).select("doc_id", "score", "evidence")
 
 
-def row_scores(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS) -> DataFrame:
-    """toxicity() with each row's row_key() as ``row``."""
+def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS) -> Index:
+    """The index of the labelled examples among ``docs``, with document frequencies over all of ``docs``."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
-    sample = labelled_sample(docs, labels, examples).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    text = pc.fill_null(sample.column("text").combine_chunks().cast(pa.string()), "") if sample.num_rows else pa.array([], pa.string())
-    toxic = np.array(sample.column("toxic").to_pylist(), dtype=float) > 0
-    stands_for = np.array(sample.column("stands_for").to_pylist(), dtype=float)
-    own = unlike(text)
-    text, toxic, stands_for = text.filter(pa.array(own)), toxic[own], stands_for[own]
-    doc_ids = [x for x, keep in zip(sample.column("doc_id").to_pylist(), own, strict=True) if keep]
-    vocab = vocabulary(text, toxic) if len(toxic) else np.zeros(0, np.uint64)
-    held = spark.sparkContext.broadcast(vocab)  # TERMS hashes at most
-
-    def reduce_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sample = labelled_sample(docs, labels, scratch, examples).orderBy(F.xxhash64("h"), "doc_id", "toxic").toArrow()
+    text = sample.column("text").combine_chunks().cast(pa.large_string()) if sample.num_rows else pa.array([], pa.large_string())
+    toxic = np.array(sample.column("toxic").to_pylist(), dtype=bool)
+    own = unlike(text, toxic)
+    chosen = sample.filter(pa.array(own, pa.bool_()))
+    found = examples_of(text.filter(pa.array(own, pa.bool_())), chosen.column("doc_id").to_pylist(), toxic[own], np.array(chosen.column("stands_for").to_pylist(), dtype=float))
+    held = spark.sparkContext.broadcast(found.vocabulary)  # the terms of a bounded sample
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, df = 0, np.zeros(len(held.value.terms), np.int64)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                which, term, count = counts_in(part.column("text"), held.value)
-                at = np.searchsorted(which, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(term, pa.int32())), pa.ListArray.from_arrays(pa.array(at), pa.array(count, pa.int32())), part.column("row")], names=["doc_id", "terms", "counts", "row"])
+            for part in slices(batch, "text", 1 << 18):
+                n += part.num_rows
+                df += np.bincount(held.value.find(bags(part.column("text"))[1])[1], None, len(df))
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, -1), pa.int32()), pa.array(np.append(df[terms], n))], names=["term", "n"])
 
-    reduced = scratch.cut(docs.mapInArrow(reduce_texts, "doc_id long, terms array<int>, counts array<int>, row long"), "toxicity-terms")
-    df = np.zeros(len(vocab))
-    for r in reduced.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # TERMS lines at most
-        df[r[0]] = r[1]
-    index = spark.sparkContext.broadcast(build_index(text, doc_ids, toxic, stands_for, vocab, df, reduced.count(), k))
+    counted = docs.select("text").mapInArrow(lean(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a line for each term
+    term, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    df = np.zeros(len(found.vocabulary.terms))
+    df[term[term >= 0]] = n[term >= 0]
+    return build_index(found, df, int(n[term < 0].sum()), k)
+
+
+def row_scores(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS) -> DataFrame:
+    """toxicity() with each row's row_key() as ``row``."""
+    index = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, examples, k))  # of a bounded sample
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
         for batch in batches:
-            scores, evidence = [], []
-            for term, count in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                if not term:
-                    scores.append(ix.silent)
-                    evidence.append("")
-                    continue
-                term = np.array(term)
-                ids, sims = ix.nearest(term, ix.weights(np.array(count), term), k)
-                scores.append(ix.calibrated(ix.vote(ids, sims)) if len(ids) else ix.silent)
-                evidence.append(" ".join(f"{ix.doc_ids[i]}:{s:.3f}" for i, s in zip(ids, sims, strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.string()), batch.column("row")], names=["doc_id", "score", "evidence", "row"])
-
-    return reduced.mapInArrow(score, "doc_id long, score double, evidence string, row long")
+            for part in slices(batch, "text", 1 << 18):
+                scores, evidence = index.value.scores(part.column("text"), k)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.string()), part.column("row")], names=["doc_id", "score", "evidence", "row"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
+    return rows.mapInArrow(lean(score), "doc_id long, score double, evidence string, row long")
 
 
 def learnable(labels: DataFrame) -> DataFrame:

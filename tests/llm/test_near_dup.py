@@ -116,3 +116,15 @@ def test_components(spark):
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect())
     assert all(got[k] == 1 for k in range(1, 61)) and {got[k] for k in (100, 150, 200, 300)} == {100}
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
+def test_long_texts_are_hashed_in_stretches(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(n)) for n in (0, 1, 300, 2, 700)] + ["x" * 400 + " y"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    want = sh.word_hashes(raw, offsets)
+    for size in (1, 10, 333):
+        monkeypatch.setattr(sh, "AT_ONCE", size)
+        got = sh.word_hashes(raw, offsets)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()

@@ -102,7 +102,7 @@ def made_pages():
     return rows + rows[:5] * 3 + [(None, None), ("", "")]
 
 
-@pytest.mark.parametrize("block_tokens", [50_000, 300, 40])
+@pytest.mark.parametrize("block_tokens", [20_000, 300, 40])
 def test_extract_against_brute_force(spark, block_tokens):
     """The query's result is that of plain sets over whole hosts, into however many suffix arrays a host is dealt."""
     rows = made_pages()
@@ -366,13 +366,13 @@ MIXED = "Then Carla buys 40 apples at 9 euro each and gives Carla 40 of them. Ho
 
 
 def test_leaks(spark, docs_of):
-    bench = spark.createDataFrame([(1, ITEM), (2, "A short one here"), (3, None), (4, "")], "item_id long, text string")
-    rows = [(1, "foo " + ITEM), (2, SAME), (3, MIXED), (4, "Nothing of that kind, but apples and Anna and 12."), (5, None), (6, ""), (7, "it was a short one, here it stands"), (None, SAME), (8, "words before " * 3000 + ITEM), (1, "unrelated")]
+    bench = spark.createDataFrame([(1, ITEM), (2, "A short one here"), (3, None), (4, ""), (5, "42"), (6, "Yes")], "item_id long, text string")
+    rows = [(1, "foo " + ITEM), (2, SAME), (3, MIXED), (4, "Yes, nothing of that kind, but apples and Anna and 12."), (5, None), (6, ""), (7, "a short ONE, here!"), (9, "it was a short one here"), (10, "17"), (None, SAME), (8, "words before " * 3000 + ITEM), (1, "unrelated")]
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs_of(rows), bench).collect()}
     assert set(got) == {(1, 1), (2, 1), (None, 1), (8, 1), (7, 2)}
     assert got[2, 1].n_slots == got[2, 1].n_consistent > 4
     left = decontaminate.decontaminated(docs_of(rows), bench)
-    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6] and left.columns == docs_of(rows).columns
+    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 9, 10] and left.columns == docs_of(rows).columns
     assert decontaminate.leaks(docs_of([]), bench).count() == 0 and decontaminate.leaks(docs_of(rows), bench.limit(0)).count() == 0
 
 
