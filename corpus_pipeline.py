@@ -2,6 +2,11 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the columns of ``documents``, of the rows they keep.
+
+Defined results, in every stage: rows are judged one by one, known by doc_id and text, so a null doc_id is an id like others
+and an id may have several texts; null and empty texts are rejected by the first stage; repeated rows are kept or rejected
+alike, but for near duplicates, of which one row stays (the least doc_id, null the last; of equal ids the row with the least
+key); further columns of ``documents`` pass through whatever their names are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandlog.llm import decontaminate, language, near_dup, packing, toxicity
-from strandlog.llm.common import BROADCAST_ROWS, Scratch, by_row, read_table, row_key, without_rows
+from strandlog.llm.common import BROADCAST_ROWS, Scratch, by_row, fresh, read_table, row_key, without_rows
 
 #: A document is rejected if its language can't be told, or is told with less than this score.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -21,8 +26,9 @@ TOXIC = 0.7
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is told; rows without text or letters go."""
     model = language.learn(docs)
-    told = language.identify(docs, model)
-    return told.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    name, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    told = language.identify(docs, model, (name, score))
+    return told.where((F.col(name) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
