@@ -49,17 +49,23 @@ def template(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.startswith("\x01"), F.substring(t, 1, 2)).otherwise(t))
 
 
-def _windows(tokens: Column, window: int) -> Column:
-    """Hashes of all windows of ``window`` tokens, in order; of fewer tokens all are one window."""
-    several = F.transform(F.sequence(F.lit(1), F.size(tokens) - window + 1), lambda i: F.xxhash64(F.slice(tokens, i, window)))
-    return F.when(F.size(tokens) >= window, several).otherwise(F.array(F.xxhash64(tokens)))
+def _windows(texts: DataFrame, key: str, window: int) -> DataFrame:
+    """(key, tokens, hashes) of ``texts`` (key, tokens): hashes of all windows of the tokens' templates, in order.
+
+    Of fewer tokens all are one window. The generator between keeps the template a column, which is made once and not for
+    each window.
+    """
+    plain, size = F.col("plain"), F.size("plain")
+    several = F.transform(F.sequence(F.lit(1), size - window + 1), lambda i: F.xxhash64(F.slice(plain, i, window)))
+    hashes = F.when(size >= window, several).otherwise(F.array(F.xxhash64(plain)))
+    return texts.select(key, "tokens", template(F.col("tokens")).alias("plain")).select(key, "tokens", F.explode(F.array(hashes)).alias("hashes"))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, h, place, n_windows, slots): every item's windows, how many distinct ones it has, their marked tokens."""
     items = benchmark.where("text is not null").select("item_id", marked(F.col("text")).alias("tokens"))
     items = items.where(F.exists("tokens", lambda t: (t != "") & ~t.startswith("\x01")))
-    rows = items.select("item_id", "tokens", F.posexplode(_windows(template(F.col("tokens")), window)).alias("place", "h"))
+    rows = _windows(items, "item_id", window).select("item_id", "tokens", F.posexplode("hashes").alias("place", "h"))
     rows = rows.select("item_id", "h", "place", F.slice("tokens", F.col("place") + 1, window).alias("slots")).distinct()
     sizes = rows.groupBy("item_id").agg(F.count_distinct("h").alias("n_windows"))
     return rows.alias("r").join(sizes.alias("s"), F.col("r.item_id").eqNullSafe(F.col("s.item_id"))).select("r.*", "n_windows")
@@ -68,7 +74,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def _doc_windows(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, tokens, hashes) of every document."""
     tokens = docs.where("text is not null").select("doc_id", marked(F.col("text")).alias("tokens"))
-    return tokens.select("doc_id", "tokens", _windows(template(F.col("tokens")), window).alias("hashes"))
+    return _windows(tokens, "doc_id", window)
 
 
 def _same(x: str, y: str, *names: str) -> Column:
