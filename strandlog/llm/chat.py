@@ -1,7 +1,8 @@
 """Conversations to training text through a compiled template, and back.
 
 Rows are dealt by conversation and sorted by turn inside each partition; a task renders them as a stream, so a
-conversation with very many turns needs no more memory than a short one. The output is a table of chunks:
+conversation with very many turns needs no more memory than a short one; its turns do go through one task, in order, since
+they are one text with one digest, so a task may take as long as the longest conversation needs. The output is a table of chunks:
 (conv_id, chunk, text, spans), where spans are [from, to) code points of the chunk that a model is to learn (the loss
 mask). Texts and roles cannot imitate the template's control strings: behind the first character of every control string
 in them an escape mark is put, which reading back takes away.

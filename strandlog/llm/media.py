@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandlog.llm.common import Scratch, slices
+from strandlog.llm.common import Scratch, lean, slices
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples to a row.
@@ -39,43 +39,56 @@ def pad(text: str | None, unit: int = WIDTH) -> tuple[bytes, int]:
 
 
 def encode_png(payload: bytes, width: int = WIDTH, level: int = 2) -> bytes:
-    """A grey PNG; each row is stored plain, since text deflates best without row filters."""
+    """A grey PNG. A row like the one above is filtered by it and a row of one value by its left neighbours, which leaves
+    zeros; other rows stay plain, since text deflates best so."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
     filtered = np.zeros((len(rows), width + 1), np.uint8)
     filtered[:, 1:] = rows
+    above = np.append(False, (rows[1:] == rows[:-1]).all(axis=1))
+    even = (rows == rows[:, :1]).all(axis=1) & ~above
+    filtered[above, 0], filtered[above, 1:] = 2, 0
+    filtered[even, 0], filtered[even, 2:] = 1, 0
     head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(filtered, level)) + _chunk(b"IEND", b"")
 
 
 def unfilter(kinds: np.ndarray, rows: np.ndarray, bpp: int = 1) -> np.ndarray:
-    """Undo the PNG row filters: none, left, up, average and Paeth (``bpp`` bytes to a sample)."""
-    if not kinds.any():
-        return rows
+    """Undo the PNG row filters: none, left, up, average and Paeth (``bpp`` bytes to a sample).
+
+    Runs of rows of one kind are done at once: sums along rows or columns, or, for the kinds that look both ways, along the
+    diagonals of the run, whose samples don't depend on each other.
+    """
+    if len(kinds) and kinds.max() > 4:
+        raise ValueError(f"row filter {kinds.max()}")
     out = rows.copy()
-    width = rows.shape[1]
-    above = np.zeros(width, np.uint8)
-    for y, kind in enumerate(kinds.tolist()):
-        row = out[y]
+    width = rows.shape[1] // bpp
+    edges = [0, *(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1).tolist(), len(kinds)]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        kind = int(kinds[lo]) if hi > lo else 0
+        if kind == 0:
+            continue
+        run = out[lo:hi].reshape(hi - lo, width, bpp)
+        above = out[lo - 1].reshape(width, bpp) if lo else np.zeros((width, bpp), np.uint8)
         if kind == 1:
-            np.cumsum(row.reshape(-1, bpp), axis=0, dtype=np.uint8, out=row.reshape(-1, bpp))
+            np.cumsum(run, axis=1, dtype=np.uint8, out=run)
         elif kind == 2:
-            row += above
-        elif kind in (3, 4):
-            left, corner = np.zeros(bpp, np.int32), np.zeros(bpp, np.int32)
-            up = above.astype(np.int32)
-            for x in range(0, width, bpp):
-                b = up[x : x + bpp]
+            run[0] += above
+            np.cumsum(run, axis=0, dtype=np.uint8, out=run)
+        else:
+            # a frame of the row above and a zero column on the left gives every sample its three neighbours
+            frame = np.zeros((hi - lo + 1, width + 1, bpp), np.int32)
+            frame[0, 1:], frame[1:, 1:] = above, run
+            for d in range(width + hi - lo - 1):
+                y = np.arange(max(0, d - width + 1), min(hi - lo - 1, d) + 1) + 1
+                x = d - (y - 1) + 1
+                left, up, corner = frame[y, x - 1], frame[y - 1, x], frame[y - 1, x - 1]
                 if kind == 3:
-                    guess = (left + b) >> 1
+                    guess = (left + up) >> 1
                 else:
-                    pa_, pb, pc = np.abs(b - corner), np.abs(left - corner), np.abs(left + b - 2 * corner)
-                    guess = np.where((pa_ <= pb) & (pa_ <= pc), left, np.where(pb <= pc, b, corner))
-                left = (row[x : x + bpp] + guess) & 255
-                row[x : x + bpp] = left
-                corner = b
-        elif kind:
-            raise ValueError(f"row filter {kind}")
-        above = row
+                    far = [np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)]
+                    guess = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
+                frame[y, x] = (frame[y, x] + guess) & 255
+            run[:] = frame[1:, 1:]
     return out
 
 
@@ -122,12 +135,12 @@ def reduced(samples: np.ndarray, side: int = SIDE) -> np.ndarray:
     return (sums[ends] - sums[edges]) / (ends - edges)[:, None]
 
 
-def cosine_hash(samples: np.ndarray) -> str:
-    """64 bits in hex: which of the 8 x 8 lowest coefficients exceed their median (the constant term does not count)."""
+def cosine_hash(samples: np.ndarray) -> bytes:
+    """64 bits: which of the 8 x 8 lowest coefficients exceed their median (the constant term does not count)."""
     low = (_DCT @ reduced(samples) @ _DCT.T).round(6).ravel()
     bits = low > np.median(low[1:])
     bits[0] = False
-    return np.packbits(bits).tobytes().hex()
+    return np.packbits(bits).tobytes()
 
 
 def to_media(docs: DataFrame) -> DataFrame:
@@ -136,14 +149,14 @@ def to_media(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 padded = [pad(x) for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([n for _, n in padded], pa.int64()), pa.array([encode_png(p) for p, _ in padded], pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, hash binary"
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -154,12 +167,12 @@ def media_features(media: DataFrame) -> DataFrame:
             rows = []
             for doc_id, n, stored in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist(), strict=True):
                 samples = decode_png(stored)
-                payload = samples.tobytes()
-                rows.append({"doc_id": doc_id, "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "feature": cosine_hash(samples)})
+                payload, bits = samples.tobytes(), cosine_hash(samples)
+                rows.append({"doc_id": doc_id, "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "feature": bits.hex(), "hash": bits})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows)
 
-    return media.mapInArrow(run, FEATURES)
+    return media.mapInArrow(lean(run), FEATURES)
 
 
 def media_digest(docs: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted lists, distance-weighted votes.
 
-Terms are lower-cased words and word beginnings (4 to 6 letters, for inflected and compounded languages). The vocabulary is
+Terms are lower-cased words and word beginnings (five letters, for inflected and compounded languages). The vocabulary is
 every term of the labelled examples, which are a bounded, documented sample of the labelled rows; document frequencies come
 from all rows of the corpus. A term's weight is (1 + log tf) * idf, and more for terms that label 1 makes likelier, by
 their log-odds in the sample; no term is dropped.
 
 The examples are kept as inverted lists cut into blocks of BLOCK examples; for each term and block that it occurs in, the
-largest weight is known. A text's examples are found block by block in the order of the blocks' upper bounds, until no
-bound exceeds the k-th best cosine: the result is the exact top k. The score is the share of toxic examples among them, each
+largest weight is known. Lists of terms that one example in DENSE has are kept as rows of numbers, since few places in them
+are empty. A text's examples are found block by block in the order of the blocks' upper bounds, until no bound exceeds the
+k-th best cosine: the result is the exact top k. Weights are whole multiples of UNIT, so that sums are exact in any order. The score is the share of toxic examples among them, each
 weighted by its squared cosine and by how many labelled rows it stands for, and drawn to the rate of label 1 as far as they
 are distant; a logistic curve fitted on left-one-out scores of the examples turns it into a probability.
 
@@ -34,8 +35,11 @@ from strandlog.llm.common import Scratch, fold, lean, row_key, slices, text_byte
 EXAMPLES = 1500
 #: Longer texts (in UTF-8 bytes) are no examples, which bounds the sample's memory.
 EXAMPLE_BYTES = 1 << 16
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (5,)
 BLOCK, NEIGHBOURS = 64, 9
+#: A term in one of so many examples has its list as a row of numbers.
+DENSE = 16
+UNIT = 2.0**-20
 #: A term whose frequencies under the two labels differ by this many standard errors weighs GAIN times its log-odds more.
 ERRORS, GAIN = 4.0, 3.0
 #: Squared cosines (summed over the neighbours) at which their votes count half.
@@ -133,6 +137,14 @@ class Vocabulary:
         good = self.terms[at] == terms[hit] if len(self.terms) else np.zeros(0, bool)
         return hit[good], at[good]
 
+    def counts(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term number, count) of the known terms of each text, by text and term; arrays of equal length."""
+        terms, bounds = terms_of(text)
+        hit, number = self.find(terms)
+        key = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[hit] * max(1, len(self.terms)) + number
+        key, count = np.unique(key, return_counts=True)
+        return key // max(1, len(self.terms)), key % max(1, len(self.terms)), count
+
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each run, one run after another."""
@@ -145,7 +157,7 @@ class Index:
     """The labelled examples' inverted lists, cut into blocks of examples, and the votes' calibration.
 
     List t has the entries first[t] to first[t + 1], one for each block that the term occurs in; entry e has the postings
-    posting[e] to posting[e + 1].
+    posting[e] to posting[e + 1]. The list of a frequent term is the row ``row`` of ``dense`` instead.
     """
 
     vocabulary: Vocabulary
@@ -156,6 +168,8 @@ class Index:
     posting: np.ndarray
     example: np.ndarray  # of each posting
     value: np.ndarray
+    row: np.ndarray  # of each term, -1 for those with entries
+    dense: np.ndarray  # (frequent terms, examples)
     toxic: np.ndarray
     stands_for: np.ndarray
     doc_ids: np.ndarray
@@ -164,29 +178,51 @@ class Index:
 
     def weights(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         w = (1 + np.log(count)) * self.weight[term]
-        return w / max(1e-12, float(np.sqrt((w**2).sum())))
-
-    def nearest(self, term: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine (ties: first in the index) and their cosines; those of cosine 0 are left out."""
+        return np.rint(w / max(1e-12, float(np.sqrt((w**2).sum()))) / UNIT) * UNIT
+
+    def nearest(self, at: np.ndarray, term: np.ndarray, count: np.ndarray, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text (its terms stand from at[i] to at[i + 1]) the k examples of highest cosine, and their cosines.
+
+        Ties: first in the index; examples of cosine 0 are left out, and text i's example without[i].
+        """
+        n = len(at) - 1
+        w = np.concatenate([self.weights(term[a:b], count[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]) if n else np.zeros(0)
+        row = self.row[term]
+        frequent = row >= 0
+        table = np.zeros((n, len(self.dense)))
+        table[np.repeat(np.arange(n), np.diff(at))[frequent], row[frequent]] = w[frequent]
+        known = table @ self.dense
+        blocks = np.arange(0, len(self.toxic), BLOCK)
+        out = []
+        for i in range(n):
+            own = slice(at[i], at[i + 1])
+            rare = ~frequent[own]
+            skip = -1 if without is None else without[i]
+            out.append(self._best(known[i], np.maximum.reduceat(known[i], blocks), term[own][rare], w[own][rare], k, skip))
+        return out
+
+    def _best(self, known: np.ndarray, bound: np.ndarray, term: np.ndarray, w: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """nearest() of one text: ``known`` are the examples' sums over its frequent terms, ``term`` and ``w`` the others."""
         sizes = self.first[term + 1] - self.first[term]
         entries = _ranges(self.first[term], sizes)
         of, block = np.repeat(w, sizes), self.block[entries]
-        bound = np.bincount(block, of * self.most[entries], -(-len(self.toxic) // BLOCK))
+        bound = bound + np.bincount(block, of * self.most[entries], len(bound))
         order = np.argsort(-bound, kind="stable")
         ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 3
-        while at < len(order) and bound[order[at]] > 0 and (len(sims) < k or bound[order[at]] >= sims[k - 1] - 1e-9):
+        at, step = 0, 4
+        while at < len(order) and bound[order[at]] > 0 and (len(sims) < k or bound[order[at]] >= sims[k - 1]):
+            chosen = order[at : at + step]
+            at, step = at + step, 4 * step
             wanted = np.zeros(len(order), bool)
-            wanted[order[at : at + step]] = True
-            at, step = at + step, 2 * step
+            wanted[chosen] = True
             own = np.flatnonzero(wanted[block])
             e = entries[own]
             sizes = self.posting[e + 1] - self.posting[e]
             postings = _ranges(self.posting[e], sizes)
-            s = np.bincount(self.example[postings], np.repeat(of[own], sizes) * self.value[postings], len(self.toxic))
-            if without >= 0:
-                s[without] = 0
-            good = np.flatnonzero(s > 1e-9)
+            s = known + np.bincount(self.example[postings], np.repeat(of[own], sizes) * self.value[postings], len(known))
+            inside = (np.sort(chosen)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            inside = inside[inside < len(known)]
+            good = inside[(s[inside] > 0) & (inside != skip)]
             ids, sims = np.concatenate([ids, good]), np.concatenate([sims, s[good]])
             top = np.lexsort((ids, -sims))[:k]
             ids, sims = ids[top], sims[top]
@@ -205,15 +241,12 @@ class Index:
 
     def scores(self, text: pa.Array, k: int) -> tuple[list[float], list[str]]:
         """The score and the evidence (doc ids and cosines) of each text."""
-        which, terms, counts = bags(text)
-        hit, term = self.vocabulary.find(terms)
-        at = np.searchsorted(which[hit], np.arange(len(text) + 1))
-        counts = counts[hit]
+        which, term, counts = self.vocabulary.counts(text)
+        at = np.searchsorted(which, np.arange(len(text) + 1))
         scores, evidence = [], []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            ids, sims = self.nearest(term[a:b], self.weights(term[a:b], counts[a:b]), k) if b > a else ((), ())
+        for ids, sims in self.nearest(at, term, counts, k):
             scores.append(self.calibrated(self.vote(ids, sims)) if len(ids) else self.silent)
-            evidence.append(" ".join(f"{self.doc_ids[i]}:{x:.3f}" for i, x in zip(ids, sims, strict=True)))
+            evidence.append(" ".join(f"{self.doc_ids[i]}:{x:.3f}" for i, x in zip(ids.tolist(), sims.tolist(), strict=True)))
         return scores, evidence
 
 
@@ -251,6 +284,7 @@ def build_index(x: Examples, df: np.ndarray, n_docs: int, k: int = NEIGHBOURS) -
     weight = np.log((2 + n_docs) / (1 + df)) * (1 + GAIN * np.where(errors > ERRORS, np.maximum(0, odds), 0))
     value = (1 + np.log(x.count)) * weight[x.term]
     value /= np.sqrt(np.maximum(1e-12, np.bincount(x.example, value**2, n)))[x.example]
+    value = np.rint(value / UNIT) * UNIT
 
     # examples of one label whose heaviest terms are the same are neighbours in the index, which makes bounds tight
     by = np.lexsort((value, x.example))
@@ -262,7 +296,14 @@ def build_index(x: Examples, df: np.ndarray, n_docs: int, k: int = NEIGHBOURS) -
     place[order] = np.arange(n)
 
     example = place[x.example]
+    frequent = np.flatnonzero((in1 + in0) * DENSE > n)
+    row = np.full(n_terms, -1, np.int32)
+    row[frequent] = np.arange(len(frequent))
+    own = row[x.term] >= 0
+    dense = np.zeros((len(frequent), n))
+    dense[row[x.term[own]], example[own]] = value[own]
     by = np.lexsort((example, x.term))
+    by = by[~own[by]]
     term, example, value = x.term[by], example[by], value[by]
     new = np.ones(len(by), bool)
     new[1:] = (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)
@@ -270,18 +311,19 @@ def build_index(x: Examples, df: np.ndarray, n_docs: int, k: int = NEIGHBOURS) -
     most = np.maximum.reduceat(value, at) if len(at) else np.zeros(0)
     rate = float((x.stands_for * x.toxic).sum() + 0.5) / float(x.stands_for.sum() + 1)
     index = Index(
-        x.vocabulary, weight, np.searchsorted(term[at], np.arange(n_terms + 1)).astype(np.int32), (example[at] // BLOCK).astype(np.int32), np.nextafter(most.astype(np.float32), np.float32(2)),
-        np.append(at, len(by)).astype(np.int32), example.astype(np.int32), value.astype(np.float32), x.toxic[order], x.stands_for[order], x.doc_ids[order], (4.0, 0.0), rate,
+        x.vocabulary, weight, np.searchsorted(term[at], np.arange(n_terms + 1)).astype(np.int32), (example[at] // BLOCK).astype(np.int32), most.astype(np.float32),
+        np.append(at, len(by)).astype(np.int32), example.astype(np.int32), value.astype(np.float32), row, dense, x.toxic[order], x.stands_for[order], x.doc_ids[order], (4.0, 0.0), rate,
     )
     votes, labels, w = [], [], []
     starts = np.searchsorted(x.example, np.arange(n + 1))
-    for i in range(n):
-        own = slice(starts[i], starts[i + 1])
-        ids, sims = index.nearest(x.term[own], index.weights(x.term[own], x.count[own]), k, without=place[i])
-        if len(ids):
-            votes.append(2 * index.vote(ids, sims) - 1)
-            labels.append(float(x.toxic[i]))
-            w.append(x.stands_for[i])
+    for lo in range(0, n, AT_ONCE):
+        at = starts[lo : lo + AT_ONCE + 1]
+        own = slice(at[0], at[-1])
+        for i, (ids, sims) in enumerate(index.nearest(at - at[0], x.term[own], x.count[own], k, place[lo : lo + AT_ONCE]), lo):
+            if len(ids):
+                votes.append(2 * index.vote(ids, sims) - 1)
+                labels.append(float(x.toxic[i]))
+                w.append(x.stands_for[i])
     index.curve = _logistic(np.array(votes), np.array(labels), np.array(w))
     return index
 
@@ -344,7 +386,7 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int =
         for batch in batches:
             for part in slices(batch, "text", 1 << 18):
                 n += part.num_rows
-                df += np.bincount(held.value.find(bags(part.column("text"))[1])[1], None, len(df))
+                df += np.bincount(held.value.counts(part.column("text"))[1], None, len(df))
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, -1), pa.int32()), pa.array(np.append(df[terms], n))], names=["term", "n"])
 

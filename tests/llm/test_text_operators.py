@@ -236,13 +236,16 @@ def png_filter(rows, kinds):
 
 def test_unfilter():
     rng = np.random.default_rng(1)
-    rows = rng.integers(0, 256, (40, 16)).tolist()
-    kinds = rng.integers(0, 5, 40).tolist()
-    assert media.unfilter(np.array(kinds, np.uint8), png_filter(rows, kinds)).tolist() == rows
+    for run in (1, 4):
+        rows = rng.integers(0, 256, (40, 16)).tolist()
+        kinds = np.repeat(rng.integers(0, 5, 40 // run), run).tolist()
+        assert media.unfilter(np.array(kinds, np.uint8), png_filter(rows, kinds)).tolist() == rows
+    with pytest.raises(ValueError):
+        media.unfilter(np.array([5], np.uint8), np.zeros((1, 4), np.uint8))
 
 
 def test_png_round_trip_and_damage():
-    for text in ("", None, "a", "é" * 31, "x" * 64, "y" * 65, "z" * 100_000):
+    for text in ("", None, "a", "é" * 31, "x" * 64, "y" * 65, "line of 16 chars" * 40 + "end", "z" * 100_000):
         payload, n = media.pad(text)
         stored = media.encode_png(payload)
         assert media.decode_png(stored).tobytes() == payload and n == len((text or "").encode()) and len(payload) % 64 == 0 and len(payload) >= 64
@@ -260,7 +263,7 @@ def test_cosine_hash_keeps_close_images_close():
     image = np.cumsum(rng.integers(-3, 4, (64, 64)), axis=0).astype(np.float64)
     image = ((image - image.min()) / np.ptp(image) * 255).astype(np.uint8)
     close = np.clip(image.astype(int) + rng.integers(-2, 3, image.shape), 0, 255).astype(np.uint8)
-    bits = lambda h: bin(int(h, 16))[2:].zfill(64)
+    bits = lambda h: bin(int(h.hex(), 16))[2:].zfill(64)
     apart = lambda x, y: sum(a != b for a, b in zip(bits(x), bits(y), strict=True))
     assert apart(media.cosine_hash(image), media.cosine_hash(close)) <= 6
     assert apart(media.cosine_hash(image), media.cosine_hash(rng.integers(0, 256, (64, 64)).astype(np.uint8))) > 10
@@ -293,7 +296,7 @@ def test_licenses(docs_of):
     got = {i: (a, b, n) for i, a, b, n in scan(docs_of(rows))}
     assert got[1] == ("MIT", "mit-notice-short", 1) and got[2][0] == "BSD-2-Clause" and got[3][0] == "BSD-2-Clause BSD-3-Clause"
     assert got[4] == ("", "bsd-binary bsd-grant", 2)  # the wrong order is no rule
-    assert got[5] == got[6] == ("", "", 0) and got[7][0] == "Apache-2.0 GPL-3.0" and got[8] == ("MIT", "spdx-mit copyright", 2) and got[9][0] == ""
+    assert got[5] == got[6] == ("", "", 0) and got[7][0] == "Apache-2.0 GPL-3.0" and got[8] == ("MIT", "spdx-MIT copyright", 2) and got[9][0] == ""
     assert scan(docs_of([])) == []
 
 
@@ -340,6 +343,43 @@ def test_wrapped_licenses(docs_of):
     assert got[8] == ("", "mit-notice as-is-mit", 2) and got[9] == ("", "gpl2-free", 1)
 
 
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+BSD3 = BSD + """
+
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+GPL2 = """// This program is free software; you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation; either version 2 of the License, or
+// (at your option) any later version."""
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+
+
+def test_published_notices(docs_of):
+    """Notices as they are published, wrapped, commented or on one line, and SPDX lines by their grammar."""
+    spdx = "# SPDX-License-Identifier: "
+    wanted = {1: (APACHE, "Apache-2.0"), 2: (BSD3, "BSD-2-Clause BSD-3-Clause"), 3: (ISC, "ISC"), 4: (GPL2, "GPL-2.0-or-later"), 5: (AGPL, "AGPL-3.0-or-later"), 6: (" ".join(MIT.split()), "MIT"), 7: (" ".join(BSD3.split()), "BSD-2-Clause BSD-3-Clause")}
+    wanted |= {8: (spdx + "BSD-2-Clause", "BSD-2-Clause"), 9: (spdx + "GPL-2.0-or-later", "GPL-2.0-or-later"), 10: (spdx + "GPL-3.0-only", "GPL-3.0-only"), 11: ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND Zlib */", "Apache-2.0 MIT Zlib"), 12: (spdx + "GPL-2.0-or-later WITH Something", "GPL-2.0-or-later"), 13: (spdx + "Nothing-1.0", "")}
+    got = {i: a for i, a, _, _ in scan(docs_of([(i, x) for i, (x, _) in wanted.items()]))}
+    assert got == {i: x for i, (_, x) in wanted.items()}
+
+
 def duck_rows(sql, **tables):
     con = duckdb.connect()
     for name, path in tables.items():
