@@ -80,13 +80,11 @@ def total_count(log: DataFrame, stream: Stream, options: Mapping[str, Any]) -> D
 
 
 def estimated_count(log: DataFrame, stream: Stream, options: Mapping[str, Any], above: int = 10_000) -> tuple[int, bool]:
-    """(count, exact): exact up to ``above`` rows; beyond, the optimizer's row estimate where the table has statistics."""
+    """(count, exact): the first ``above`` rows are counted alone, and only then all of them; both counts are exact in Spark."""
     source, _ = source_of(log, stream)
-    rows = select_log(source, options)
-    if (n := rows.limit(above + 1).count()) <= above:
-        return n, True
-    stats = rows._jdf.queryExecution().optimizedPlan().stats().rowCount()
-    return (int(str(stats.get())), False) if stats.isDefined() else (rows.count(), True)
+    rows = select_log(source, options).select("global_position")
+    n = rows.limit(above + 1).count()
+    return (n if n <= above else rows.count()), True
 
 
 def _search(rows: DataFrame, column: str, matches: Column, start: str | None, direction: Any, size: int) -> DataFrame:

@@ -50,9 +50,15 @@ def numbered_batch(batch: DataFrame, order: str, heads: DataFrame, last_position
 
 
 def check_expected(wanted: DataFrame, heads: DataFrame) -> DataFrame:
-    """(stream keys, outcome) for streams with an ``expected`` revision: ok, or conflict if the head is another."""
-    joined = wanted.join(heads, list(STREAM_KEYS), "left")
-    return joined.select(*STREAM_KEYS, F.when(F.col("expected") == F.coalesce("stream_revision", F.lit(-1)), "ok").otherwise("conflict").alias("outcome"))
+    """(stream keys, outcome) for streams with an ``expected`` revision: ok, or conflict if the head is another.
+
+    ``expected`` is a number, or one of ``any``, ``no_stream`` and ``stream_exists``.
+    """
+    joined = wanted.join(heads, list(STREAM_KEYS), "left").withColumn("expected", F.col("expected").cast("string"))
+    head, expected = F.col("stream_revision"), F.col("expected")
+    ok = F.when(expected == "any", True).when(expected == "no_stream", head.isNull()).when(expected == "stream_exists", head.isNotNull())
+    ok = ok.otherwise(expected == F.coalesce(head, F.lit(-1)).cast("string"))
+    return joined.select(*STREAM_KEYS, F.when(ok, "ok").otherwise("conflict").alias("outcome"))
 
 
 def safe_position(commits: DataFrame) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandlog.functions import names, payload
 from strandlog.operators import catalog, grouped, links, paging, reads, writes
 from strandlog.schema import Stream
-from strandlog.sources.event_log import log_from_events, originals, purchase_links, read_events
+from strandlog.sources.event_log import log_from_events, log_without_revisions, numbered_page, originals, purchase_links, read_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,17 +54,23 @@ MIXED = {"streams": [{"context": "FooCtx"}, {"context": "BarCtx", "stream_name":
 MIXED_SQL = "((context = 'FooCtx') OR (context = 'BarCtx' AND stream_name = 'User') OR (context = 'BazCtx' AND stream_name = 'User' AND stream_id = '2')) AND type IN ('click', 'view')"
 
 
+def _page(spark: SparkSession, sf_dir: str, page: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A page of the log by position: cut first, then numbered."""
+    log = log_without_revisions(spark, sf_dir)
+    return numbered_page(page(log), log)
+
+
 # ---- reads
 
 
 @query("SELECT * FROM alle ORDER BY global_position LIMIT 1000")
 def read_all_first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.read(log_from_events(spark, sf_dir), ALL)
+    return _page(spark, sf_dir, lambda log: reads.read(log, ALL))
 
 
 @query("SELECT * FROM alle WHERE global_position <= 7000 ORDER BY global_position DESC LIMIT 50")
 def read_all_backwards_from_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.read(log_from_events(spark, sf_dir), ALL, {"direction": "Backwards", "from_position": 7000, "max_count": 50})
+    return _page(spark, sf_dir, lambda log: reads.read(log, ALL, {"direction": "Backwards", "from_position": 7000, "max_count": 50}))
 
 
 @query("SELECT * FROM alle WHERE context = 'FooCtx' AND stream_name = 'User' AND stream_id = '6' AND stream_revision <= 20 ORDER BY stream_revision DESC LIMIT 10")
@@ -82,12 +90,12 @@ def system_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT * FROM alle WHERE {MIXED_SQL} AND global_position >= 500 ORDER BY global_position LIMIT 200")
 def filter_streams_and_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.read(log_from_events(spark, sf_dir), ALL, {"filter": MIXED, "from_position": 500, "max_count": 200})
+    return _page(spark, sf_dir, lambda log: reads.read(log, ALL, {"filter": MIXED, "from_position": 500, "max_count": 200}))
 
 
 @query("SELECT * FROM alle ORDER BY global_position LIMIT 100")
 def invalid_stream_filters_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.read(log_from_events(spark, sf_dir), ALL, {"filter": {"streams": [{"stream_name": "User"}, 7], "event_types": [None]}, "max_count": 100, "from_revision": 3})
+    return _page(spark, sf_dir, lambda log: reads.read(log, ALL, {"filter": {"streams": [{"stream_name": "User"}, 7], "event_types": [None]}, "max_count": 100, "from_revision": 3}))
 
 
 @query("SELECT context, stream_name, stream_id, CAST(max(stream_revision) AS INT) AS stream_revision FROM alle GROUP BY ALL")
@@ -97,9 +105,9 @@ def stream_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM alle WHERE context = 'FooCtx' AND stream_name = 'User' AND type = 'view' AND global_position = (SELECT max(global_position) FROM alle WHERE context = 'FooCtx' AND stream_name = 'User' AND type = 'view')")
 def reload_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = log_from_events(spark, sf_dir)
+    log = log_without_revisions(spark, sf_dir)
     last = log.where("context = 'FooCtx' and stream_name = 'User' and type = 'view'").agg(F.max("global_position")).first()[0]
-    return reads.reload_event(log, {"context": "FooCtx", "stream_name": "User", "type": "view", "global_position": last})
+    return numbered_page(reads.reload_event(log, {"context": "FooCtx", "stream_name": "User", "type": "view", "global_position": last}), log)
 
 
 @query("SELECT CAST(count(*) > 0 AS BOOLEAN) AS found, context FROM alle WHERE type = 'purchase' GROUP BY context")
@@ -108,6 +116,15 @@ def event_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.where(F.col("type") == "purchase").select("context").distinct().select(F.lit(True).alias("found"), "context")
 
 
+TYPES = ("click", "purchase", "refund", "signup", "$>")
+
+
+@query(f"SELECT v.type, v.type IN (SELECT type FROM alle) AS present FROM (VALUES {', '.join(f'({t!r})' for t in TYPES)}) v(type)")
+def event_type_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = log_without_revisions(spark, sf_dir)
+    return spark.createDataFrame([(t, reads.exists(log, F.col("type") == t)) for t in TYPES], "type string, present boolean")
+
+
 # ---- grouped
 
 
@@ -120,6 +137,11 @@ def grouped_all_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.read_grouped(log_from_events(spark, sf_dir), ALL, {"direction": "Backwards", "from_position": 5000})
 
 
+@query(f"SELECT {STAR} FROM (SELECT *, {GROUP.format('DESC')} AS rn FROM alle) WHERE rn = 1")
+def grouped_all_newest_of_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped.read_grouped(log_from_events(spark, sf_dir), ALL, {"direction": "Backwards"})
+
+
 @query(f"SELECT {STAR} FROM (SELECT *, {GROUP.format('ASC')} AS rn FROM alle) WHERE rn = 1")
 def grouped_all_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.read_grouped(log_from_events(spark, sf_dir), ALL)
@@ -238,6 +260,22 @@ def partition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.lookup(_catalog(spark, sf_dir), "FooCtx", "User").drop("id", "table_name")
 
 
+@query(f"{PART} WHERE event_type = 'click' OR (event_type IS NULL AND stream_name = 'User')")
+def partitions_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _catalog(spark, sf_dir)
+    ids = [r.id for r in parts.where("event_type = 'click' or (event_type is null and stream_name = 'User')").select("id").collect()]  # a row for each context
+    return catalog.find_by_ids(parts, ids).drop("id", "table_name")
+
+
+NAMED = ("FooCtx", "QuxCtx")
+
+
+@query(f"SELECT c.context, c.context IN (SELECT context FROM parts) AS taken FROM (VALUES {', '.join(f'({c!r})' for c in NAMED)}) c(context)")
+def partition_name_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _catalog(spark, sf_dir)
+    return spark.createDataFrame([(c, catalog.name_taken(parts, f"contexts_{md5(c.encode()).hexdigest()[:6]}")) for c in NAMED], "context string, taken boolean")
+
+
 # ---- paging, search, counts
 
 
@@ -266,7 +304,7 @@ PAGE = {"filter": {"streams": [{"context": "FooCtx"}]}, "from_position": 300, "m
 
 @query("SELECT * FROM alle WHERE context = 'FooCtx' AND global_position <= 300 ORDER BY global_position DESC LIMIT 20")
 def events_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paging.events_page(log_from_events(spark, sf_dir), ALL, PAGE)
+    return _page(spark, sf_dir, lambda log: paging.events_page(log, ALL, PAGE))
 
 
 @query("SELECT global_position FROM alle WHERE context = 'FooCtx' AND global_position >= 300 ORDER BY 1 LIMIT 1 OFFSET 20")
@@ -295,6 +333,14 @@ def paginate_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query("SELECT global_position, stream_revision FROM alle")
+def paginate_all_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = log_from_events(spark, sf_dir)
+    size = log.count() // 4 + 1  # four pages at every scale
+    pages = [page.select("global_position", "stream_revision") for page in paging.paginated(log, ALL, {"max_count": size, "direction": "desc"})]
+    return reduce(DataFrame.unionByName, pages)
+
+
 # ---- writes, as batches over the log
 
 
@@ -331,6 +377,23 @@ def append_expected_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.check_expected(wanted, heads)
 
 
+EXPECTED = """, heads AS (SELECT context, stream_name, stream_id, max(stream_revision) AS head FROM log GROUP BY ALL),
+wanted AS (SELECT *, CASE CAST(stream_id AS BIGINT) % 4 WHEN 0 THEN 'any' WHEN 1 THEN 'no_stream' WHEN 2 THEN 'stream_exists' ELSE '7' END AS expected FROM (
+  SELECT context, stream_name, stream_id FROM heads UNION ALL SELECT context, 'Ghost', stream_id FROM heads))
+SELECT w.context, w.stream_name, w.stream_id, CASE WHEN CASE expected WHEN 'any' THEN true WHEN 'no_stream' THEN head IS NULL WHEN 'stream_exists' THEN head IS NOT NULL
+  ELSE coalesce(head, -1) = 7 END THEN 'ok' ELSE 'conflict' END AS outcome FROM wanted w LEFT JOIN heads h USING (context, stream_name, stream_id)"""
+
+
+@query(EXPECTED)
+def append_expected_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = reads.stream_heads(originals(read_events(spark, sf_dir)))
+    streams = heads.select("context", "stream_name", "stream_id")
+    ghosts = streams.withColumn("stream_name", F.lit("Ghost"))
+    kind = F.col("stream_id").cast("long") % 4
+    expected = F.when(kind == 0, "any").when(kind == 1, "no_stream").when(kind == 2, "stream_exists").otherwise("7")
+    return writes.check_expected(streams.unionByName(ghosts).withColumn("expected", expected), heads)
+
+
 # ---- subscriptions
 
 FEED = """SELECT * FROM (SELECT {S}, 1 AS runner_id FROM alle WHERE type IN ('click', 'view') AND global_position > 100 AND global_position <= {P} ORDER BY global_position LIMIT 10)
@@ -339,10 +402,10 @@ UNION ALL SELECT * FROM (SELECT {S}, 2 AS runner_id FROM alle WHERE context = 'P
 
 @query(FEED.format(S=STAR, P="(SELECT max(global_position) - 5 FROM alle)"))
 def subscription_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = log_from_events(spark, sf_dir)
+    log = log_without_revisions(spark, sf_dir)
     safe = log.agg(F.max("global_position")).first()[0] - 5
     runners = [{"runner_id": 1, "from_position": 100, "options": {"filter": {"event_types": ["click", "view"]}, "max_count": 10}}, {"runner_id": 2, "from_position": 0, "options": {"filter": {"streams": [{"context": "Projections"}]}, "max_count": 10}}]
-    return reads.subscription_feed(log, runners, safe)
+    return numbered_page(reads.subscription_feed(log, runners, safe), log)
 
 
 @query("""SELECT CAST(max(hi) AS BIGINT) AS safe_position FROM (SELECT v, max(global_position) AS hi, min(CASE WHEN user_id % 97 = 0 AND event_id % 1000 = 999 THEN v END) AS o

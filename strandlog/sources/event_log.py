@@ -36,17 +36,36 @@ COLUMNS = ("global_position", "context", "stream_name", "stream_id", "stream_rev
 _KEYS = list(STREAM_KEYS)
 
 
+def numbered_page(page: DataFrame, log: DataFrame) -> DataFrame:
+    """``page``, some rows of a log without revisions, with their revisions: only the streams on the page are numbered.
+
+    The page is one that a limit has made small; its stream keys and positions are broadcast, the log's other columns are
+    never moved.
+    """
+    streams = F.broadcast(page.select(*_KEYS).distinct())
+    own = log.select(*_KEYS, "global_position").join(streams, _KEYS, "left_semi")
+    revisions = dense_revisions(own, _KEYS).select("global_position", "stream_revision")
+    out = revisions.join(F.broadcast(page), "global_position")
+    return out.select(*COLUMNS, *[c for c in page.columns if c not in COLUMNS])
+
+
+def log_without_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log in the columns of COLUMNS but stream_revision, which nothing has to be shuffled for."""
+    events = read_events(spark, sf_dir)
+    columns = [c for c in COLUMNS if c != "stream_revision"]
+    return base_events(events).select(*columns).unionByName(_bought(events).select(*columns))
+
+
 def originals(events: DataFrame) -> DataFrame:
     """The log without links."""
     return dense_revisions(base_events(events), _KEYS).select(*COLUMNS)
 
 
-def purchase_links(events: DataFrame) -> DataFrame:
-    """A link to every purchase, in one projection stream per context, positioned behind the log (with gaps)."""
+def _bought(events: DataFrame) -> DataFrame:
     base = base_events(events)
     last = base.agg(F.max("global_position").alias("last"))
     bought = base.where(F.col("type") == "purchase").crossJoin(F.broadcast(last))  # one row
-    rows = bought.select(
+    return bought.select(
         (F.col("last") + F.col("global_position")).alias("global_position"),
         F.lit("Projections").alias("context"),
         F.lit("Purchases").alias("stream_name"),
@@ -56,7 +75,11 @@ def purchase_links(events: DataFrame) -> DataFrame:
         "created_at",
         F.col("global_position").alias("link_global_position"),
     )
-    return dense_revisions(rows, _KEYS).select(*COLUMNS)
+
+
+def purchase_links(events: DataFrame) -> DataFrame:
+    """A link to every purchase, in one projection stream per context, positioned behind the log (with gaps)."""
+    return dense_revisions(_bought(events), _KEYS).select(*COLUMNS)
 
 
 def log_from_events(spark: SparkSession, sf_dir: str, links: bool = True) -> DataFrame:

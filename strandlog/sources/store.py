@@ -28,6 +28,7 @@ from strandlog.errors import CommitConflictError, NotPersistedEventError, ReadOn
 from strandlog.functions.names import encoded
 from strandlog.operators import catalog, grouped, paging, reads, writes
 from strandlog.schema import EVENT, LINK_TYPE, NO_STREAM_REVISION, STREAM_KEYS, Event, Stream
+from strandlog.scratch import scratch_path
 from strandlog.sources.files import Files
 
 _FOLDERS = ("p_context", "p_name", "p_type")
@@ -39,16 +40,17 @@ ANY, NO_STREAM, STREAM_EXISTS = "any", "no_stream", "stream_exists"
 
 @dataclass
 class _State:
-    """The store after a commit: its last position, live data commits, tombstones in order, known heads."""
+    """The store after a commit: its last position, live data commits, tombstones in order (and all there ever were), known heads."""
 
     version: int = 0
     last_position: int = 0
     commits: list[str] = field(default_factory=list)  # folders of live data
     tombstones: list[dict[str, Any]] = field(default_factory=list)
     heads: dict[tuple[str, str, str], int] = field(default_factory=dict)
+    erased: list[dict[str, Any]] = field(default_factory=list)
 
     def after(self, record: Mapping[str, Any]) -> _State:
-        out = _State(record["version"], record["last_position"], list(self.commits), list(self.tombstones), dict(self.heads))
+        out = _State(record["version"], record["last_position"], list(self.commits), list(self.tombstones), dict(self.heads), self.erased + record["tombstones"])
         if record["kind"] == "snapshot":
             out.commits, out.tombstones = [], []
         if record["folder"]:
@@ -115,14 +117,32 @@ class LogStore:
         columns = {"context": value("p_context"), "stream_name": value("p_name"), "type": value("p_type")}
         return raw.select(*[columns.get(f.name, F.col(f.name)).alias(f.name) for f in EVENT.fields])
 
+    def _named(self, middlewares: Sequence[str] | None) -> list[Any]:
+        """The middlewares of these names in the order of the configuration; all of them for None."""
+        return [m for name, m in self.middlewares if middlewares is None or name in middlewares]
+
+    def deserialized(self, rows: DataFrame, middlewares: Sequence[str] | None = None) -> DataFrame:
+        for m in self._named(middlewares):
+            rows = m.deserialize(rows)
+        return rows
+
+    def serialized(self, rows: DataFrame, middlewares: Sequence[str] | None = None) -> DataFrame:
+        for m in self._named(middlewares):
+            rows = m.serialize(rows)
+        return rows
+
+    def stored(self) -> DataFrame:
+        """All live events as they were written."""
+        state = self.state()
+        return self._live(self._data(state.commits), state.tombstones)
+
+    def still_live(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of any commits as they were written, without what has been deleted since; the log is not read."""
+        return self._live(rows, self.state().erased)
+
     def log(self, middlewares: Sequence[str] | None = None) -> DataFrame:
         """All live events, with the middlewares' deserialize applied in order (``middlewares``: only the named ones)."""
-        state = self.state()
-        out = self._live(self._data(state.commits), state.tombstones)
-        for name, m in self.middlewares:
-            if middlewares is None or name in middlewares:
-                out = m.deserialize(out)
-        return out
+        return self.deserialized(self.stored(), middlewares)
 
     def _live(self, df: DataFrame, tombstones: list[dict[str, Any]]) -> DataFrame:
         """Apply tombstones: a deleted stream's events up to its position go, later revisions of a deleted event move down."""
@@ -143,16 +163,17 @@ class LogStore:
         return joined.withColumn("stream_revision", revision.cast("int")).where("stream_revision >= 0").select(*df.columns)
 
     def read(self, stream: Stream, options: Mapping[str, Any] | None = None, middlewares: Sequence[str] | None = None, check: bool = True) -> DataFrame:
-        return reads.read(self.log(middlewares), stream, self._defaults(options), check)
+        """Events of a stream; middlewares see the rows that are returned, not the links that resolved events came by."""
+        return self.deserialized(reads.read(self.stored(), stream, self._defaults(options), check), middlewares)
 
     def _defaults(self, options: Mapping[str, Any] | None) -> dict[str, Any]:
         return {"max_count": self.config.max_count, **{k: v for k, v in (options or {}).items() if not (k == "max_count" and v is None)}}
 
     def read_paginated(self, stream: Stream, options: Mapping[str, Any] | None = None, middlewares: Sequence[str] | None = None):
-        return paging.paginated(self.log(middlewares), stream, self._defaults(options))
+        return (self.deserialized(page, middlewares) for page in paging.paginated(self.stored(), stream, self._defaults(options)))
 
     def read_grouped(self, stream: Stream, options: Mapping[str, Any] | None = None, middlewares: Sequence[str] | None = None) -> DataFrame:
-        return grouped.read_grouped(self.log(middlewares), stream, options)
+        return self.deserialized(grouped.read_grouped(self.stored(), stream, options), middlewares)
 
     def partitions(self) -> DataFrame:
         return catalog.partitions(self.log([]))
@@ -186,11 +207,22 @@ class LogStore:
         """Append one event or many, all or none; the stored rows are returned, one for one event."""
         return self.multiple(lambda tx: tx.append(stream, events, expected_revision, middlewares))
 
-    def append_frame(self, batch: DataFrame, order: str) -> int:
-        """Append a large batch for many streams (key columns, type, data, metadata, id may be missing), numbered by Spark."""
+    def append_frame(self, batch: DataFrame, order: str, middlewares: Sequence[str] | None = None) -> int:
+        """Append a large batch for many streams (key columns, type, data, metadata, id may be missing), numbered by Spark.
+
+        ``order``: a column of distinct whole numbers. The batch is evaluated once, into a table in the shared folder.
+        """
         for key in STREAM_KEYS:
             if key not in batch.columns:
                 raise ValueError(f"{key} is missing")
+        scratch = scratch_path(self.spark, "batch")
+        batch.write.parquet(scratch)
+        batch = self.spark.read.schema(batch.schema).parquet(scratch)
+        size = batch.agg(F.count("*").alias("n"), F.count_distinct(order).alias("orders"), F.max(F.col("context").startswith("$")).alias("system")).first()
+        if size.orders != size.n:
+            raise ValueError(f"{order} is not a column of distinct numbers")
+        if size.system:
+            raise SystemStreamError(batch.where(F.col("context").startswith("$")).select(*STREAM_KEYS).first())
         now = F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp_ntz")
         fill = {"id": F.expr("uuid()"), "data": F.lit("{}"), "metadata": F.lit("{}"), "link_global_position": F.lit(None).cast("long"), "link_partition_id": F.lit(None).cast("long"), "created_at": now}
         batch = batch.withColumns({k: v for k, v in fill.items() if k not in batch.columns})
@@ -198,15 +230,15 @@ class LogStore:
             state = self.state()
             heads = reads.stream_heads(self._live(self._data(state.commits), state.tombstones))
             rows = writes.numbered_batch(batch, order, heads, state.last_position)
-            n = batch.count()
+            rows = self.serialized(rows.select(*[f.name for f in EVENT.fields]), middlewares)
             try:
-                return self._commit(state, rows.select(*[f.name for f in EVENT.fields]), [], None, state.last_position + n)
+                return self._commit(state, rows, [], None, state.last_position + size.n)
             except CommitConflictError:
                 continue
 
-    def link_to(self, stream: Stream, positions: Sequence[int], expected_revision: Any = ANY) -> Any:
-        """Append links to stored events, given by their global positions."""
-        return self.multiple(lambda tx: tx.link_to(stream, positions, expected_revision))
+    def link_to(self, stream: Stream, positions: Sequence[int], expected_revision: Any = ANY, middlewares: Sequence[str] = ()) -> Any:
+        """Append links to stored events, given by their global positions; no middlewares unless they are named."""
+        return self.multiple(lambda tx: tx.link_to(stream, positions, expected_revision, middlewares))
 
     def delete_stream(self, stream: Stream) -> bool:
         """Delete a stream's events; whether there were any."""
@@ -254,14 +286,15 @@ class Transaction:
         """The log as this block sees it: what was committed before, and its own writes."""
         rows = self.store._data(self.state.commits)
         if self.rows:
-            rows = rows.unionByName(self.store.spark.createDataFrame(self._tuples(), EVENT))
+            rows = rows.unionByName(self.store.spark.createDataFrame(self._tuples(self.rows), EVENT))
         return self.store._live(rows, [*self.state.tombstones, *self.tombstones])
 
     def read(self, stream: Stream, options: Mapping[str, Any] | None = None) -> DataFrame:
         return reads.read(self.log(), stream, options)
 
-    def _tuples(self) -> list[tuple]:
-        return [tuple(r[f.name] for f in EVENT.fields) for r in self.rows]
+    @staticmethod
+    def _tuples(rows: list[dict[str, Any]]) -> list[tuple]:
+        return [tuple(r[f.name] for f in EVENT.fields) for r in rows]
 
     def _check(self, stream: Stream, expected: Any) -> int:
         head = self.stream_revision(stream)
@@ -296,7 +329,7 @@ class Transaction:
     def _shown(row: dict[str, Any]) -> dict[str, Any]:
         return {f.name: row[f.name] for f in EVENT.fields}
 
-    def link_to(self, stream: Stream, positions: Sequence[int], expected_revision: Any = ANY) -> Any:
+    def link_to(self, stream: Stream, positions: Sequence[int], expected_revision: Any = ANY, middlewares: Sequence[str] = ()) -> Any:
         self._writable(stream)
         wanted = self.store.spark.createDataFrame([(p,) for p in positions], "global_position long")
         found = {r.global_position: r for r in self.log().join(F.broadcast(wanted), "global_position", "left_semi").select("global_position", catalog.partition_id(F.col("context"), F.col("stream_name"), F.col("type")).alias("pid")).collect()}
@@ -304,7 +337,10 @@ class Transaction:
         if absent:
             raise NotPersistedEventError(f"there are no events at {absent}")
         items = [{"type": LINK_TYPE, "data": "{}", "metadata": "{}", "link_global_position": p, "link_partition_id": found[p].pid} for p in positions]
-        return [self._shown(r) for r in self._add(stream, items, expected_revision)]
+        out = self._add(stream, items, expected_revision)
+        for row in out:
+            row["_middlewares"] = middlewares
+        return [self._shown(r) for r in out]
 
     def delete_stream(self, stream: Stream) -> bool:
         self._writable(stream)
@@ -329,10 +365,11 @@ class Transaction:
         if self.read_only or not (self.rows or self.tombstones):
             return
         rows = None
-        if self.rows:
-            rows = self.store.spark.createDataFrame(self._tuples(), EVENT).coalesce(1)
-            named = self.rows[0].get("_middlewares")
-            for name, m in self.store.middlewares:
-                if named is None or name in named:
-                    rows = m.serialize(rows)
+        alike: dict[tuple[str, ...] | None, list[dict[str, Any]]] = {}  # by the middlewares that their append named
+        for row in self.rows:
+            named = row.get("_middlewares")
+            alike.setdefault(None if named is None else tuple(named), []).append(row)
+        for named, own in alike.items():
+            part = self.store.serialized(self.store.spark.createDataFrame(self._tuples(own), EVENT).coalesce(1), named)
+            rows = part if rows is None else rows.unionByName(part)
         self.store._commit(self.state, rows, self.tombstones, [[*k, v] for k, v in self.heads.items()], self.position)

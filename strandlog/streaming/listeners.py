@@ -12,7 +12,7 @@ class HeartbeatListener(StreamingQueryListener):
     """Calls ``beat`` at most once every ``interval`` seconds, on progress or idle ticks of any query of the session."""
 
     def __init__(self, beat: Callable[[], None], interval: float = 10.0):
-        self.beat, self.interval, self.last = beat, interval, 0.0
+        self.beat, self.interval, self.last = beat, interval, float("-inf")
 
     def _tick(self) -> None:
         now = time.monotonic()

@@ -163,10 +163,10 @@ class Subscription:
         """What the subscription sees of a batch of appended events: live, filtered, behind its position, in order."""
         start = self.row.current_position if self.row.current_position is not None else self.row.options.get("from_position", 0)
         wanted = select_log(batch, {"filter": self.row.options.get("filter")}).where(F.col("global_position") > (start or 0))
-        log = self.store.log()
-        live = log.join(wanted.select("global_position"), "global_position", "left_semi")  # without what was deleted since
-        out = resolve_links(live, log) if self.row.options.get("resolve_link_tos") else live
-        return cursor_position(out).orderBy("cursor")
+        out = self.store.still_live(wanted)
+        if self.row.options.get("resolve_link_tos"):
+            out = resolve_links(out, self.store.stored())
+        return cursor_position(self.store.deserialized(out)).orderBy("cursor")
 
     def _process(self, batch: DataFrame, batch_id: int) -> None:
         rows = self.rows(batch)

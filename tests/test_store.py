@@ -5,9 +5,11 @@ from __future__ import annotations
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlog import errors
 from strandlog.config import Config
+from strandlog.errors import SystemStreamError
 from strandlog.schema import Event, Stream
 from strandlog.sources.store import LogStore
 from strandlog.streaming.state import StateStore, SubscriptionState
@@ -235,3 +237,54 @@ def test_timings():
     for x in (1, 2, 3, 4):
         t.track(x)
     assert t.average == 3
+
+
+class _Stamp:
+    """A middleware that writes its name into the metadata, and adds it to the data when rows are read."""
+
+    def __init__(self, name):
+        self.name = name
+
+    def serialize(self, rows):
+        return rows.withColumn("metadata", F.concat("metadata", F.lit(self.name)))
+
+    def deserialize(self, rows):
+        return rows.withColumn("data", F.concat("data", F.lit(self.name)))
+
+
+def test_middlewares_by_append(spark, tmp_path):
+    """Each append of a transaction has its own middlewares, links have none, and a resolved row's link stays as stored."""
+    store = LogStore(spark, f"file://{tmp_path}/m", middlewares=[("a", _Stamp("a")), ("b", _Stamp("b"))])
+    one, views = Stream("C", "S", "1"), Stream("V", "S", "1")
+    store.multiple(lambda tx: (tx.append(one, Event("A"), middlewares=["a"]), tx.append(one, Event("B"), middlewares=[]), tx.append(one, Event("C"))))
+    store.link_to(views, [1])
+    assert [r.metadata for r in store.stored().orderBy("global_position").collect()] == ["{}a", "{}", "{}ab", "{}"]
+    row = store.read(views, {"resolve_link_tos": True}).first()
+    assert row.data == "{}ab" and row.metadata == "{}a" and row.link.data == "{}"
+    assert [r.data for r in store.read(one, middlewares=["b"]).collect()] == ["{}b"] * 3
+
+
+def test_append_frame_guards(spark, tmp_path):
+    store = LogStore(spark, f"file://{tmp_path}/g", middlewares=[("a", _Stamp("a"))])
+    rows = spark.createDataFrame([("C", "S", "1", "A", 1), ("C", "S", "1", "A", 2)], "context string, stream_name string, stream_id string, type string, k long")
+    store.append_frame(rows, "k")
+    assert [r.metadata for r in store.stored().collect()] == ["{}a"] * 2
+    with pytest.raises(ValueError):
+        store.append_frame(rows.withColumn("k", F.lit(1)), "k")
+    with pytest.raises(SystemStreamError):
+        store.append_frame(rows.withColumn("context", F.lit("$streams")), "k")
+
+
+def test_a_batch_does_not_read_the_log(spark, tmp_path):
+    """What a subscription sees of a batch is made of the batch and the tombstones; deleted events are gone, compacted or not."""
+    store = LogStore(spark, f"file://{tmp_path}/b")
+    one = Stream("C", "S", "1")
+    store.append(one, [Event("A"), Event("B"), Event("C")])
+    batch = store._data(store.state().commits)
+    store.delete_event(one, 1)
+    for _ in range(2):
+        seen = Subscription(store, SubscriptionState("s", "n"), print).rows(batch)
+        assert [(r.type, r.stream_revision) for r in seen.collect()] == [("A", 0), ("C", 1)]
+        plan = seen._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Scan parquet") == 1
+        store.compact()
