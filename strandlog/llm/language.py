@@ -40,6 +40,8 @@ FAMILIES = {
 PER_LANGUAGE, SAMPLE_BYTES = 400, 1 << 16
 #: Texts of the sample that are looked at together, to bound the driver's memory.
 AT_ONCE = 256
+#: Bytes of text whose n-grams are looked up together; longer texts are looked at in stretches.
+STRETCH = 1 << 20
 #: Hash buckets of the n-grams.
 BUCKETS = 1 << 13
 _ORDERS = (2, 3, 4)
@@ -56,7 +58,14 @@ def family_of(lang: str) -> str:
 
 def ngrams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of all n-grams of each text, by start, shape (bytes, orders), and the texts' bounds; 0: only blanks."""
-    raw, offsets = text_bytes(pc.utf8_lower(text.cast(pa.large_string())))
+    return _ngrams(*_lowered(text))
+
+
+def _lowered(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return text_bytes(pc.utf8_lower(text.cast(pa.large_string())))
+
+
+def _ngrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = _LETTER[raw].astype(np.uint32)
     # blanks after each text keep its last n-grams apart from the next text's
     spread = np.full(len(x) + 4 * (len(offsets) - 1), 32, np.uint32)
@@ -93,17 +102,30 @@ class Model:
     between: list[tuple[int, int]]  # families of the first machines
     within: list[tuple[int, int]]  # languages of the others
 
-    def margins(self, text: pa.Array) -> np.ndarray:
-        grams, bounds = ngrams(text)
-        if not len(grams):
-            return np.tile(self.bias, (len(text), 1))
+    def _sums(self, grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's sum of weight rows, and the number of its n-grams."""
         sums = np.zeros((len(bounds) - 1, len(self.bias)), np.int64)
         counts = np.zeros(len(sums), np.int64)
         for order in range(grams.shape[1]):
-            starts = np.minimum(bounds[:-1], len(grams) - 1)
-            counts += np.add.reduceat(grams[:, order] > 0, starts, dtype=np.int64)
-            rows = self.weights[grams[:, order]]
-            sums += np.add.reduceat(rows, starts, axis=0, dtype=np.int64)
+            counts += np.add.reduceat(grams[:, order] > 0, bounds[:-1], dtype=np.int64)
+            sums += np.add.reduceat(self.weights[grams[:, order]], bounds[:-1], axis=0, dtype=np.int64)
+        return sums, counts
+
+    def margins(self, text: pa.Array) -> np.ndarray:
+        raw, offsets = _lowered(text)
+        if not len(text):
+            return np.zeros((0, len(self.bias)))
+        if len(raw) <= STRETCH:
+            sums, counts = self._sums(*_ngrams(raw, offsets))
+        else:
+            sums, counts = np.zeros((len(text), len(self.bias)), np.int64), np.zeros(len(text), np.int64)
+            for t, (start, stop) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                for lo in range(start, stop, STRETCH):  # with the bytes behind it that its last n-grams need
+                    part = raw[lo : min(stop, lo + STRETCH + max(_ORDERS) - 1)]
+                    n = min(STRETCH, stop - lo)
+                    s, c = self._sums(_ngrams(part, np.array([0, len(part)]))[0][:n], np.array([0, n]))
+                    sums[t] += s[0]
+                    counts[t] += c[0]
         return sums / self.unit / np.maximum(1, counts)[:, None] + self.bias
 
     def predict(self, text: pa.Array) -> tuple[list[str], np.ndarray]:

@@ -48,6 +48,16 @@ def test_prediction_uses_text_only_and_whole(spark, docs_of):
     assert [o[0][0] for o in one] == many[0] and np.allclose([o[1][0] for o in one], many[1])
 
 
+def test_long_texts_in_stretches(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    model = language.learn(docs)
+    texts = pa.array([r.text for r in docs.collect()] + [None, "", "ä" * 50, "x"])
+    want = model.margins(texts)
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(language, "STRETCH", size)
+        assert (model.margins(texts.slice(0, 64 if size > 1 else 3)) == want[: 64 if size > 1 else 3]).all()
+
+
 @pytest.mark.parametrize("langs", [[], ["en"], ["en", "xx", "yy"]])
 def test_few_languages(spark, docs_of, langs):
     texts = {"en": "the cat and the dog", "xx": "zu zu zu va va", "yy": "kok kik kek kuk"}
