@@ -137,6 +137,9 @@ class _Linker:
         placed = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
         parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
         state = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+        state = self.scratch.cut(state, "open-keys")  # joined by itself, the rows of a large bucket need not meet in one task
+        if state.count() <= BROADCAST_ROWS:
+            state = F.broadcast(state)
         bands = self.reps.select(F.col("doc_id").alias("id"), "bands", "sketch")
         rows = self.scratch.cut(placed.join(state, "key").join(bands, "id"), "open-buckets")
         small = rows.where(F.col("n") <= FEW).withColumn("text", F.lit(""))
