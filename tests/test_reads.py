@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -119,6 +121,25 @@ def test_links(spark):
     assert [r[0] for r in reads.missing(keys, log).collect()] == [99] and [r[0] for r in reads.present(keys, log).collect()] == [1]
 
 
+def test_rows_that_are_no_links_are_spread(spark):
+    rows = [("FooCtx", "Foo", str(k % 7), "Foo") for k in range(1000)]
+    log = log_of(spark, [*rows, ("P", "Q", "1", "$>", 1), ("P", "Q", "1", "$>", 1), ("P", "Q", "1", "$>", 1001), ("P", "Q", "1", "$>", 9999)])
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = links.resolve_links(log, log).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(Counter(r.task for r in got).values()) < 500
+    # a row that is no link stays as it is, also where links point at it; a link to a link is resolved once
+    found = {r.link.id: r.id for r in got if r.link}
+    assert found == {"e1001": "e1", "e1002": "e1", "e1003": "e1001"}
+    assert sorted(r.id for r in got if not r.link) == sorted([*(f"e{k}" for k in range(1, 1001)), "e1004"])
+
+
 def test_pages(spark):
     log = log_of(spark, [("FooCtx", "My", "1", "Foo"), ("FooCtx", "My", "1", "Bar"), ("FooCtx", "My", "2", "Foo"), ("BarCtx", "My", "1", "Bar"), ("BarCtx", "My", "1", "Baz")])
     one = lambda df: [r[0] for r in df.collect()]
